@@ -15,6 +15,7 @@ improve the incumbent; the search ends at the lower bound or after ``max_nodes``
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
@@ -162,53 +163,58 @@ def plan_packing(counts: dict[int, int], capacity: int, max_nodes: int = 400, wi
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _Cores(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of what the tokenizer itself is asked for."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        found = self[chunk] = array("I", ids).tobytes()
-        return found
-
-
 class _Words(dict):
-    """Token ids of chunks without white space; a chunk is its core and the marks behind it."""
+    """Token ids of chunks without white space; a chunk is its core and the marks behind it.
+
+    Two generations of at most ``limit`` chunks: what is not asked for again is forgotten.
+    """
 
-    def __init__(self, tokenizer, limit: int = 700_000):
+    def __init__(self, tokenizer, limit: int = 550_000):
         super().__init__()
-        self.cores, self.limit = _Cores(tokenizer), limit
+        self.encode, self.limit, self.old = tokenizer.encode, limit, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        core = chunk.rstrip(_MARKS)
-        # bytes up to 127 that are left at the end are letters, digits, apostrophes or controls
-        if not core or core == chunk or not (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalpha()):
-            found = self.cores[chunk]
-        else:
-            found = self.cores[core] + self.cores[chunk[len(core) :]]
+        found = self.old.get(chunk)
+        if found is None:
+            core = chunk.rstrip(_MARKS)
+            # bytes up to 127 that are left at the end are letters, digits, apostrophes or controls
+            if not core or core == chunk or not (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalpha()):
+                found = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+            else:
+                found = self[core] + self[chunk[len(core) :]]
         self[chunk] = found
         return found
 
     def trim(self) -> None:
-        """Forget everything when the cache is full: memory stays bounded."""
         if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
-        if len(self.cores) > self.limit:
-            self.cores.clear()
 
 
-def token_bytes(texts: list[bytes], words: _Words) -> list[bytes]:
-    """Ids of each text.  The tokenizer drops white space and never joins across it, so chunks are encoded once.
+#: A full stop or comma that does not stand behind a letter or digit (the two-byte ones of Latin-1 included).
+_ODD_MARK = re.compile(rb"[.,](?=[ \n])(?<![a-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])")
+
 
-    It also lower-cases, so A-Z may be lowered first, unless a combining mark (U+0300 to U+036F)
-    could compose with the small letter alone.
+def _chunks(text: bytes) -> list[bytes]:
+    """White-space-free chunks whose ids, one after the other, are the text's.
+
+    The tokenizer lower-cases, so A-Z may be lowered first, unless a combining mark (U+0300
+    to U+036F) could compose with the small letter alone.  It keeps marks apart from letters,
+    so stops and commas behind a word may stand alone, which makes chunks repeat more.
     """
+    if b"\xcc" in text or b"\xcd" in text:
+        return text.split()
+    text = text.lower()
+    if not _ODD_MARK.search(text):
+        text = text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" . ").replace(b",\n", b" , ")
+    return text.split()
+
+
+def token_bytes(texts: list[bytes], words: _Words) -> list[bytes]:
+    """Ids of each text.  The tokenizer drops white space and never joins across it, so chunks are encoded once."""
     words.trim()
     get = words.__getitem__
-    return [b"".join(map(get, (t if b"\xcc" in t or b"\xcd" in t else t.lower()).split())) for t in texts]
+    return [b"".join(map(get, _chunks(t))) for t in texts]
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
