@@ -4,14 +4,16 @@ word bigrams; DataFrame functions only.
 A unit (a line, or the whole text) is normalised: A-Z lowered, everything but a-z and 0-9 a
 space.  With A and B the sets of its and a template's word bigrams, a match has
 2|A & B| / (|A| + |B|) >= ``threshold``; so |A| lies between |B| t/(2-t) and |B| (2-t)/t,
-which rules out most templates by size alone.  Units that share no bigram with any
-template are dropped before the sizes are compared.
+which rules out most templates by size alone.  As a match shares more than t/(2-t) of the
+template's bigrams, texts and units that hold none of a few rare ones are dropped first.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,33 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+#: Words too common to look a template up by.
+COMMON = {"a", "all", "and", "any", "as", "be", "by", "except", "for", "following", "free", "in", "is", "it", "may", "not", "of", "or",
+          "published", "terms", "that", "the", "this", "to", "under", "use", "with", "without", "work", "you"}
+
+
+def anchors(grams: list[list[str]], threshold: float) -> tuple[str, list[str]]:
+    """A pattern that every match contains, and words of which any such text holds one.
+
+    A match shares t/(2-t) of a template's bigrams at least, so one of any more than the rest:
+    of those that hold its longest words, as many words as it takes.
+    """
+    asked: set[str] = set()
+    rare: set[str] = set()
+    for b in grams:
+        spare = len(b) - max(1, math.ceil(threshold / (2 - threshold) * len(b) - 1e-9))
+        touched: set[str] = set()
+        for word in sorted({w for x in b for w in x.split()}, key=lambda w: (w in COMMON, -len(w), w)):
+            if len(touched) > spare:
+                break
+            rare.add(word)
+            touched.update(x for x in b if word in x.split())
+        asked |= touched
+    least = sorted(w for w in rare if not any(v != w and v in w for v in rare))
+    pattern = "(?i)(?:" + "|".join(sorted(x.replace(" ", "[^A-Za-z0-9]+") for x in asked)) + ")"
+    return (pattern if asked else r"\z\A."), least
+
+
 def _bigrams(unit: Column) -> Column:
     low = F.translate(unit, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
@@ -81,48 +110,43 @@ def license_scans(
     """
     frame, (doc, text), _ = isolate(docs, id_col, text_col)
     known = [(n, b) for n, t in sorted(templates if templates is not None else TEMPLATES) if (b := bigrams_of(t))]
-    every = sorted({x for _, b in known for x in b})
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least = min((math.ceil(low * len(b) - 1e-9) for _, b in known), default=1)
     most = max((math.floor(high * len(b) + 1e-9) for _, b in known), default=0)
 
-    body = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
-    whole = F.when(F.contains(body, F.lit("\n")), F.array(F.struct(F.lit(0).alias("line"), body.alias("unit"))))
-    units = F.when(body == "", F.array().cast("array<struct<line:int,unit:string>>")).otherwise(
-        F.concat(F.coalesce(whole, F.array().cast("array<struct<line:int,unit:string>>")), lines)
-    )
-    # an outline of the words that any match needs, so that most units are never split
-    names = sorted({w for x in every for w in x.split()})
-    some = r"(?i)\b(?:" + "|".join(names) + r")[^a-z0-9]+(?:" + "|".join(names) + r")\b" if names else r"\A\z\A."
+    some, words = anchors([b for _, b in known], threshold)
+    kind = "array<struct<line:int,license:string,dice:double>>"
+    unit_kind = "array<struct<line:int,unit:string>>"
 
-    def judged(u: Column) -> Column:
-        pairs = _bigrams(u["unit"])
+    def judged(pairs: Column) -> Column:
         size = F.size(pairs)
+        options = []
+        for name, b in known:
+            fits = size.between(math.ceil(low * len(b) - 1e-9), math.floor(high * len(b) + 1e-9))
+            dice = 2.0 * F.size(F.array_intersect(pairs, F.array(*[F.lit(x) for x in b]))) / (size + len(b))
+            options.append(F.struct((-F.when(fits, dice).otherwise(0.0)).alias("less"), F.lit(name).alias("license")))
+        return F.when(size.between(least, most), F.array_min(F.array(*options)))
 
-        def dice(b: list[str]) -> Column:
-            return 2.0 * F.size(F.array_intersect(pairs, F.array(*[F.lit(x) for x in b]))) / (size + len(b))
-
-        def best() -> Column:
-            options = [
-                F.struct((-F.when(size.between(math.ceil(low * len(b) - 1e-9), math.floor(high * len(b) + 1e-9)), dice(b)).otherwise(0.0)).alias("less"), F.lit(n).alias("license"))
-                for n, b in known
-            ]
-            return F.array_min(F.array(*options))
-
-        return F.when(u["unit"].rlike(some) & size.between(least, most), best())
-
-    kind = "array<struct<line:int,license:string,dice:double>>"
+    body = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
+    whole = F.when(F.contains(body, F.lit("\n")), F.array(F.struct(F.lit(0).alias("line"), body.alias("unit")))).otherwise(F.array().cast(unit_kind))
+    hopeful = F.filter(F.concat(whole, lines), lambda u: u["unit"].rlike(some))
+    n_lines = F.size(F.split(body, "\n"))
+    out = frame.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low")).select(
+        "doc",
+        F.when(body == "", 0).otherwise(n_lines + (n_lines > 1).cast("int")).cast("long").alias("n_units"),
+        F.when(reduce(or_, (F.contains("low", F.lit(w)) for w in words), F.lit(False)) & body.rlike(some), hopeful).otherwise(F.array().cast(unit_kind)).alias("units"),
+    )
     if known:
-        tested = F.transform("units", lambda u: F.struct(u["line"].alias("line"), judged(u).alias("m")))
+        paired = F.transform("units", lambda u: F.struct(u["line"].alias("line"), _bigrams(u["unit"]).alias("pairs")))
+        tested = F.transform(paired, lambda u: F.struct(u["line"].alias("line"), judged(u["pairs"]).alias("m")))
         found = F.transform(
             F.filter(tested, lambda t: F.coalesce(-t["m"]["less"] >= threshold, F.lit(False))),
             lambda t: F.struct(t["line"].alias("line"), t["m"]["license"].alias("license"), (-t["m"]["less"]).alias("dice")),
         ).cast(kind)
     else:
         found = F.array().cast(kind)
-    out = frame.select(F.col(doc).alias("doc"), F.col(text).alias("text")).withColumn("units", units)
-    out = out.select("doc", F.size("units").cast("long").alias("n_units"), found.alias("found"))
+    out = out.select("doc", "n_units", found.alias("found"))
     best = F.array_min(F.transform("found", lambda f: F.struct((-f["dice"]).alias("less"), f["license"].alias("license"))))
     return out.select(
         F.col("doc").alias(id_col), "n_units", F.size("found").cast("long").alias("n_matches"),

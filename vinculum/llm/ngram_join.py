@@ -6,20 +6,20 @@ sketch, the ``SKETCH`` smallest shingle hashes (its tokens).
 *Why sketches lose no link.*  Of a pair with similarity s >= 0.8, each of the smallest hashes
 of the union is shared with probability s, and a shared one is in both sketches.  That no
 token at all is shared has probability 0.2**64 or less, fewer than ``LEAST`` = 20 below
-4e-16: rarer than a collision of the 64-bit shingle hashes themselves.  Sets no larger than
-their sketch are compared outright.  Tokens of more than ``HOT`` classes (a shared passage)
-are left out where they are at most half of a sketch: then 0.3 of the union's smallest
-hashes at least are shared and not hot, and 0.7**64 = 1e-10 bounds a miss.
-
-1. Every token names as leader the class whose tokens are the most common; classes are
-   verified against the leaders of their tokens.  This is linear, and joins large groups of
-   near copies around their original.
-2. Groups: classes are put with those that share their most common token, in one component
-   of step 1, dealt into chunks of about ``CHUNK``.  The matrix has a row for each token of
-   a group's token union.
-3. A class probes the groups of other components: its overlap with a group's union bounds
-   its overlap with any member, and groups under the bound stay closed.  Members of opened
-   groups are verified on whole shingle sets.
+4e-16: rarer than a collision of the 64-bit shingle hashes themselves.  Tokens of more than
+``HOT`` classes (a shared passage) are left out where they are at most half of a sketch:
+then 0.3 of the union's smallest hashes at least are shared and not hot, and 0.7**64 = 1e-10
+bounds a miss.
+
+1. Leaders: every token names two classes that hold it, and the other classes are verified
+   against those of their tokens' leaders that look most alike.  This is linear, and joins
+   most of a large group of near copies without meeting its pairs.
+2. Groups: classes are put with those that share their most common token, dealt into chunks
+   of about ``CHUNK``.  The matrix has a row for each token of a group's token union.
+3. A class probes the groups that have members of larger components: the tokens it shares
+   with a group's union bound its overlap with any member, and groups under the bound stay
+   closed.  For an opened group the bound is taken once more with the union of whole shingle
+   sets, then members are compared in full; one link to each component is kept.
 4. Components of all verified links.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import byte_rows, isolate, materialize
+from vinculum.llm.common import byte_rows, isolate, materialize, parts_for
 from vinculum.llm.components import components
 from vinculum.llm.line_dedup import Bloom
 
@@ -92,6 +92,8 @@ def _sets(width: int, wanted=None):
 
 
 def _linked(percent: int):
+    """Of pairs with their sets, those that link."""
+
     def run(batches):
         for batch in batches:
             keep = []
@@ -104,6 +106,44 @@ def _linked(percent: int):
     return run
 
 
+def _opened(percent: int):
+    """Rows sorted by group, members first: a query's links to the larger components in the group."""
+
+    def run(batches):
+        group, held, flat = None, [], None
+        for batch in batches:
+            out = []
+            columns = ("group", "asks", "node", "size", "label", "items")
+            for g, asks, node, size, label, items in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if g != group:
+                    group, held, flat = g, [], None
+                if not asks:
+                    held.append((node, size, label, np.frombuffer(items, np.uint64)))
+                    continue
+                if not held:
+                    continue
+                if flat is None:
+                    nodes, ranks, labels, sets = zip(*held, strict=True)
+                    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+                    starts, union = np.cumsum(sizes) - sizes, np.unique(flat)
+                    ranks, labels = np.array(ranks), np.array(labels)
+                q = np.frombuffer(items, np.uint64)
+                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+                if 100 * int((union[at] == q).sum()) < percent * len(q):
+                    continue
+                larger = (ranks > size) | (ranks == size) & (labels > label)
+                at = np.minimum(np.searchsorted(q, flat), len(q) - 1)
+                both = np.add.reduceat((q[at] == flat).astype(np.int64), starts)
+                ok = np.flatnonzero(larger & (100 * both >= percent * (len(q) + sizes - both)))
+                # one link to each component is enough
+                out += [(node, nodes[int(i)]) for i in ok[np.unique(labels[ok], return_index=True)[1]]]
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _ids_filter(ids: DataFrame, limit: int):
     """A Bloom filter of ids as (log_m, bits), or None beyond ``limit`` bytes; built by shards, merged at the driver."""
     n = ids.count()
@@ -127,22 +167,9 @@ class _Join:
     def __init__(self, texts: DataFrame, classes: DataFrame, width: int, percent: int, filter_bytes: int):
         self.texts, self.classes, self.width, self.percent, self.filter_bytes = texts, classes, width, percent, filter_bytes
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of class nodes that link: sizes and sketches first, whole sets for what they leave open."""
-        own = self.classes.select("node", "n", "sketch")
-        # b may be a leader that many pairs share: it is joined while the rows are thin
-        held = pairs.join(own.toDF("b", "nb", "sb"), "b").join(own.toDF("a", "na", "sa"), "a")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        fits = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
-        tested = held.filter(fits).select("a", "b", "na", "nb", whole.alias("whole"), shared.alias("shared"))
-        sure = F.col("whole") & (100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared")))
-        tested = materialize(tested.filter(sure | (~F.col("whole") & (F.col("shared") >= LEAST))))
-        known = tested.filter("whole").select("a", "b")
-        todo = tested.filter("NOT whole").select("a", "b")
-        nodes = materialize(
-            todo.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "doc", "set_hi", "set_lo"), "node")
-        )
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, items: the whole shingle sets of some class nodes, made again from their texts."""
+        nodes = materialize(nodes.distinct().join(self.classes.select("node", "doc", "set_hi", "set_lo"), "node"))
         bits = _ids_filter(nodes.select("doc"), self.filter_bytes)
         spark = self.texts.sparkSession
         if bits is not None:
@@ -152,10 +179,24 @@ class _Join:
             wanted = spark.sparkContext.broadcast((6, b"\xff" * 8))
         found = texts.mapInArrow(_sets(self.width, wanted), "doc long, set_hi long, set_lo long, items binary")
         # of equal sets only one is wanted
-        sets = found.drop("doc").join(nodes.select("node", "set_hi", "set_lo"), ["set_hi", "set_lo"]).dropDuplicates(["node"])
-        sets = materialize(sets.select("node", "items"))
-        full = todo.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        return known.union(full.mapInArrow(_linked(self.percent), "a long, b long"))
+        own = found.drop("doc").join(nodes.select("node", "set_hi", "set_lo"), ["set_hi", "set_lo"]).dropDuplicates(["node"])
+        return materialize(own.select("node", "items"))
+
+    def fits(self, n: Column, m: Column) -> Column:
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+
+    def led(self, pairs: DataFrame, each: int = 3) -> DataFrame:
+        """Links among pairs (a, b, nb): for each a the ``each`` b that share most tokens are verified."""
+        own = self.classes.select("node", "n", F.transform("sketch", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("s"))
+        # b may be a leader that many pairs share: it is joined while the rows are thin
+        held = pairs.join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(own.toDF("a", "na", "sa"), "a")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("shared"), "b"))
+        best = held.select("a", "b", shared.alias("shared")).filter("shared > 0")
+        best = materialize(best.withColumn("rank", rank).filter(F.col("rank") <= each).select("a", "b"))
+        sets = self.sets(best.select(F.explode(F.array("a", "b")).alias("node")))
+        full = best.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+        return materialize(full.mapInArrow(_linked(self.percent), "a long, b long"))
 
 
 def _need(n: Column, hot: Column) -> Column:
@@ -164,6 +205,13 @@ def _need(n: Column, hot: Column) -> Column:
     return F.greatest(F.lit(1), F.when(n <= SKETCH, small).otherwise(F.lit(LEAST)) - hot)
 
 
+def _marked(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """Token rows with the component of their class and how many classes it has."""
+    labels = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select("node", "label", "size")
+    out = kept.select("t", "node", "n", "hot", "top").join(labels, "node", "left")
+    return materialize(out.withColumns({"label": F.coalesce("label", "node"), "size": F.coalesce("size", F.lit(1))}))
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -196,38 +244,38 @@ def ngram_join(
     common = materialize(tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
     own = W.partitionBy("node")
     hot = F.col("df") > HOT
-    kept = tokens.join(common, "t").withColumns(
-        {
-            "hot": F.sum(hot.cast("long")).over(own),
-            "score": F.avg(F.log("df")).over(own),
-            "top": F.max(F.struct("df", "t")).over(own),
-        }
-    )
-    kept = materialize(kept.filter(~hot | (2 * F.col("hot") > F.least("n", F.lit(SKETCH)))))
-
-    leaders = kept.groupBy("t").agg(F.max(F.struct("score", F.col("n"), F.col("node").alias("leader"))).alias("lead"))
-    leaders = materialize(leaders.select("t", F.col("lead.leader").alias("b")))
-    stars = kept.select("t", F.col("node").alias("a")).join(leaders, "t").filter("a != b").select("a", "b").distinct()
-    first = materialize(join.verified(stars))
-    labels = components(first)
-
-    # what is not in one component yet: a class probes groups of components with smaller labels
-    marked = kept.select("t", "node", "n", "hot", "top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marked = materialize(marked)
+    kept = tokens.join(common, "t").withColumn("hot", F.sum(hot.cast("long")).over(own))
+    kept = kept.filter(~hot | (2 * F.col("hot") > F.least("n", F.lit(SKETCH))))
+    kept = materialize(kept.withColumns({"score": F.avg(F.log("df")).over(own), "top": F.max(F.struct("df", "t")).over(own)}))
+
+    # leaders: of each token the class whose tokens are the most common, and one by lot
+    lot = F.xxhash64("node", F.pmod("t", F.lit(8)))
+    one = F.struct("node", "n")
+    leaders = kept.groupBy("t").agg(F.max_by(one, F.struct("score", "node")).alias("x"), F.max_by(one, F.struct(lot, F.col("node"))).alias("y"))
+    leaders = materialize(leaders)
+    near = kept.select("t", F.col("node").alias("a"), "n").join(leaders, "t").select("a", "n", F.explode(F.array("x", "y")).alias("l"))
+    near = near.filter((F.col("a") != F.col("l.node")) & join.fits(F.col("n"), F.col("l.n")))
+    links = join.led(near.select("a", F.col("l.node").alias("b")).distinct())
+    marked = _marked(kept, components(links))
+
+    # what is not in one component yet: a class probes groups with members of larger components
     mixed = marked.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("t")
-    open_ = materialize(marked.join(mixed, "t"))
+    open_ = materialize(marked.join(mixed, "t").withColumn("rank", F.struct("size", "label")))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.df") / CHUNK))
-    placed = open_.withColumn("group", F.xxhash64("top.t", chunk, "label"))
-    matrix = placed.select("t", "group", F.col("label").alias("group_label")).distinct()
-    hits = open_.select("t", F.col("node").alias("a"), "n", "hot", "label").join(matrix, "t").filter("label > group_label")
-    bound = hits.groupBy("a", "group").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("hot").alias("hot"))
-    opened = bound.filter(F.col("shared") >= _need(F.col("n"), F.col("hot"))).select("a", "group", "n")
-    members = placed.select("group", F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    fits = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
-    rest = opened.join(members, "group").filter(fits & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    second = join.verified(rest)
-
-    final = components(first.union(second))
+    placed = open_.withColumn("group", F.xxhash64("top.t", chunk))
+    matrix = placed.groupBy("t", "group").agg(F.max("rank").alias("most"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    room = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+    hits = open_.select("t", F.col("node").alias("a"), "n", "hot", "rank").join(matrix, "t").filter((F.col("rank") < F.col("most")) & room)
+    bound = hits.groupBy("a", "group").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("rank").alias("rank"))
+    opened = materialize(bound.filter(F.col("shared") >= _need(F.col("n"), F.col("hot"))).select("group", F.col("a").alias("node"), "rank"))
+    members = placed.select("group", "node", "rank").distinct().join(opened.select("group").distinct(), "group", "left_semi")
+    roles = materialize(members.withColumn("asks", F.lit(False)).union(opened.withColumn("asks", F.lit(True))))
+    whole = join.sets(roles.select("node"))
+    both = roles.join(whole, "node").select("group", "asks", "node", "rank.size", "rank.label", "items")
+    order = both.repartition(parts_for(both, 8 << 20), "group").sortWithinPartitions("group", "asks")
+    second = order.mapInArrow(_opened(percent), "a long, b long")
+
+    final = components(links.union(second))
     named = classes.select("node", "doc", "set_hi", "set_lo").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = materialize(named.join(least, "label").select("set_hi", "set_lo", "component_id", F.col("node").alias("class_id")))
