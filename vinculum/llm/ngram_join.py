@@ -186,13 +186,20 @@ class _Join:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
     def led(self, pairs: DataFrame, each: int = 3) -> DataFrame:
-        """Links among pairs (a, b, nb): for each a the ``each`` b that share most tokens are verified."""
+        """Links among pairs (a, b): for each a the ``each`` b that look most alike are verified, if they look alike at all.
+
+        Nothing is lost here for good: the groups are probed for what is not linked yet.
+        """
+        often = pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
+        first = F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), "b"))
+        pairs = often.withColumn("first", first).filter(F.col("first") <= 2 * each).select("a", "b")
         own = self.classes.select("node", "n", F.transform("sketch", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("s"))
         # b may be a leader that many pairs share: it is joined while the rows are thin
         held = pairs.join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(own.toDF("a", "na", "sa"), "a")
         shared = F.size(F.array_intersect("sa", "sb"))
         rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("shared"), "b"))
-        best = held.select("a", "b", shared.alias("shared")).filter("shared > 0")
+        alike = F.col("shared") >= 0.6 * F.least(F.col("na"), F.lit(SKETCH))
+        best = held.select("a", "b", "na", shared.alias("shared")).filter(alike)
         best = materialize(best.withColumn("rank", rank).filter(F.col("rank") <= each).select("a", "b"))
         sets = self.sets(best.select(F.explode(F.array("a", "b")).alias("node")))
         full = best.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
@@ -255,7 +262,7 @@ def ngram_join(
     leaders = materialize(leaders)
     near = kept.select("t", F.col("node").alias("a"), "n").join(leaders, "t").select("a", "n", F.explode(F.array("x", "y")).alias("l"))
     near = near.filter((F.col("a") != F.col("l.node")) & join.fits(F.col("n"), F.col("l.n")))
-    links = join.led(near.select("a", F.col("l.node").alias("b")).distinct())
+    links = join.led(near.select("a", F.col("l.node").alias("b")))
     marked = _marked(kept, components(links))
 
     # what is not in one component yet: a class probes groups with members of larger components
@@ -272,7 +279,7 @@ def ngram_join(
     roles = materialize(members.withColumn("asks", F.lit(False)).union(opened.withColumn("asks", F.lit(True))))
     whole = join.sets(roles.select("node"))
     both = roles.join(whole, "node").select("group", "asks", "node", "rank.size", "rank.label", "items")
-    order = both.repartition(parts_for(both, 8 << 20), "group").sortWithinPartitions("group", "asks")
+    order = both.repartition(parts_for(whole, 4 << 20), "group").sortWithinPartitions("group", "asks")
     second = order.mapInArrow(_opened(percent), "a long, b long")
 
     final = components(links.union(second))
