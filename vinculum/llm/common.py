@@ -61,9 +61,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for scans and written tables that is the file size."""
+    """Catalyst's size estimate (for scans and written tables the file size); measured where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    if size < 1 << 50:
+        return size
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    return int(df.agg(F.coalesce(F.sum(sum(long, F.lit(8 * len(df.columns)))), F.lit(0))).first()[0])
 
 
 def parts_for(df: DataFrame, each: int, least: int = 8) -> int:

@@ -79,7 +79,7 @@ def _sets(width: int, wanted=None):
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                     n.append(len(s))
                     items.append(s if bloom is not None else s[:SKETCH].view(np.int64))
-                if len(hashes) > 1_000_000:
+                if len(hashes) > 250_000:
                     hashes.clear()
                 both = np.frombuffer(b"".join(digest), ">i8").astype(np.int64).reshape(-1, 2)
                 head = [ids.slice(at, len(texts)), pa.array(both[:, 0]), pa.array(both[:, 1])]
