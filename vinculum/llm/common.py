@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,37 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vinculum/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more.
+
+    What was made from them must be written already, as a lost executor is otherwise made good
+    from them.  Spark drops shuffle files when the driver's collector finds their plans dead, so
+    that is asked for here too: a row of jobs would else keep the shuffles of all of them.
+    """
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if written:
+        written[0].sparkSession._jvm.System.gc()
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function after which the worker gives freed memory back: it lives on and serves later stages."""
+
+    def lean_run(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return lean_run
 
 
 def input_bytes(df: DataFrame) -> int:

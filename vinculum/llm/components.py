@@ -6,9 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import materialize
+from vinculum.llm.common import lean, materialize, release
 
 
+@lean
 def _contract(batches):
     """A spanning forest of the partition's edges, as stars around each tree's smallest node."""
     parent: dict[int, int] = {}
@@ -40,11 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable, for every node of ``edges`` (a, b long).
 
     Each round takes the smallest label among neighbours, then the label's label, until
-    nothing changes; the rounds grow with the logarithm of a component's width.
+    nothing changes; the rounds grow with the logarithm of a component's width.  The result is a
+    written table, which its reader releases.
     """
     stars = materialize(edges.select("a", "b").mapInArrow(_contract, "a long, b long"))
     both = materialize(stars.union(stars.select("b", "a")).toDF("node", "other").distinct())
-    labels = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
+    labels = last = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         pulled = labels.join(seen, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
@@ -56,4 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
         changed = not new.filter(F.col("label") != F.col("old")).isEmpty()
         labels = new.select("node", "label")
         if not changed:
+            release(stars, both, last)
+            labels._written_at = new._written_at
             return labels
+        release(last)
+        last = new

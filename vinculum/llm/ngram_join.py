@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import byte_rows, isolate, materialize, parts_for
+from vinculum.llm.common import byte_rows, isolate, lean, materialize, parts_for, release
 from vinculum.llm.components import components
 from vinculum.llm.line_dedup import Bloom
 
@@ -88,7 +88,7 @@ def _sets(width: int, wanted=None):
                 else:
                     yield pa.RecordBatch.from_arrays([*head, pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc", "set_hi", "set_lo", "n", "sketch"])
 
-    return run
+    return lean(run)
 
 
 def _linked(percent: int):
@@ -97,13 +97,14 @@ def _linked(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for (_, xs), (_, ys) in zip(byte_rows(batch, "x"), byte_rows(batch, "y"), strict=True):
+                for x, y in zip(xs, ys, strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def _opened(percent: int):
@@ -113,8 +114,9 @@ def _opened(percent: int):
         group, held, flat = None, [], None
         for batch in batches:
             out = []
-            columns = ("group", "asks", "node", "size", "label", "items")
-            for g, asks, node, size, label, items in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("group", "asks", "node", "size", "label")]
+            sets = (x for _, some in byte_rows(batch, "items") for x in some)
+            for g, asks, node, size, label, items in zip(*columns, sets, strict=True):
                 if g != group:
                     group, held, flat = g, [], None
                 if not asks:
@@ -123,8 +125,8 @@ def _opened(percent: int):
                 if not held:
                     continue
                 if flat is None:
-                    nodes, ranks, labels, sets = zip(*held, strict=True)
-                    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+                    nodes, ranks, labels, whole = zip(*held, strict=True)
+                    flat, sizes = np.concatenate(whole), np.array([len(x) for x in whole])
                     starts, union = np.cumsum(sizes) - sizes, np.unique(flat)
                     ranks, labels = np.array(ranks), np.array(labels)
                 q = np.frombuffer(items, np.uint64)
@@ -141,7 +143,7 @@ def _opened(percent: int):
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _ids_filter(ids: DataFrame, limit: int):
@@ -180,7 +182,10 @@ class _Join:
         found = texts.mapInArrow(_sets(self.width, wanted), "doc long, set_hi long, set_lo long, items binary")
         # of equal sets only one is wanted
         own = found.drop("doc").join(nodes.select("node", "set_hi", "set_lo"), ["set_hi", "set_lo"]).dropDuplicates(["node"])
-        return materialize(own.select("node", "items"))
+        own = materialize(own.select("node", "items"))
+        release(nodes)
+        wanted.destroy()
+        return own
 
     def fits(self, n: Column, m: Column) -> Column:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
@@ -203,7 +208,9 @@ class _Join:
         best = materialize(best.withColumn("rank", rank).filter(F.col("rank") <= each).select("a", "b"))
         sets = self.sets(best.select(F.explode(F.array("a", "b")).alias("node")))
         full = best.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        return materialize(full.mapInArrow(_linked(self.percent), "a long, b long"))
+        links = materialize(full.mapInArrow(_linked(self.percent), "a long, b long"))
+        release(best, sets)
+        return links
 
 
 def _need(n: Column, hot: Column) -> Column:
@@ -255,6 +262,8 @@ def ngram_join(
     kept = kept.filter(~hot | (2 * F.col("hot") > F.least("n", F.lit(SKETCH))))
     kept = materialize(kept.withColumns({"score": F.avg(F.log("df")).over(own), "top": F.max(F.struct("df", "t")).over(own)}))
 
+    release(common)
+
     # leaders: of each token the class whose tokens are the most common, and one by lot
     lot = F.xxhash64("node", F.pmod("t", F.lit(8)))
     one = F.struct("node", "n")
@@ -263,11 +272,15 @@ def ngram_join(
     near = kept.select("t", F.col("node").alias("a"), "n").join(leaders, "t").select("a", "n", F.explode(F.array("x", "y")).alias("l"))
     near = near.filter((F.col("a") != F.col("l.node")) & join.fits(F.col("n"), F.col("l.n")))
     links = join.led(near.select("a", F.col("l.node").alias("b")))
-    marked = _marked(kept, components(links))
+    release(leaders)
+    labels = components(links)
+    marked = _marked(kept, labels)
+    release(kept, labels)
 
     # what is not in one component yet: a class probes groups with members of larger components
     mixed = marked.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("t")
     open_ = materialize(marked.join(mixed, "t").withColumn("rank", F.struct("size", "label")))
+    release(marked)
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.df") / CHUNK))
     placed = open_.withColumn("group", F.xxhash64("top.t", chunk))
     matrix = placed.groupBy("t", "group").agg(F.max("rank").alias("most"), F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -277,15 +290,18 @@ def ngram_join(
     opened = materialize(bound.filter(F.col("shared") >= _need(F.col("n"), F.col("hot"))).select("group", F.col("a").alias("node"), "rank"))
     members = placed.select("group", "node", "rank").distinct().join(opened.select("group").distinct(), "group", "left_semi")
     roles = materialize(members.withColumn("asks", F.lit(False)).union(opened.withColumn("asks", F.lit(True))))
+    release(open_, opened)
     whole = join.sets(roles.select("node"))
     both = roles.join(whole, "node").select("group", "asks", "node", "rank.size", "rank.label", "items")
     order = both.repartition(parts_for(whole, 4 << 20), "group").sortWithinPartitions("group", "asks")
-    second = order.mapInArrow(_opened(percent), "a long, b long")
+    second = materialize(order.mapInArrow(_opened(percent), "a long, b long"))
+    release(roles, whole)
 
     final = components(links.union(second))
     named = classes.select("node", "doc", "set_hi", "set_lo").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = materialize(named.join(least, "label").select("set_hi", "set_lo", "component_id", F.col("node").alias("class_id")))
+    release(classes, links, second, final)
     out = sets.select("doc", "set_hi", "set_lo", "n").join(named, ["set_hi", "set_lo"], "left")
     return out.select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
