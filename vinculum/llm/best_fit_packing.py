@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import byte_rows, isolate, materialize, parts_for
+from vinculum.llm.common import byte_rows, isolate, lean, materialize, parts_for
 
 #: A filling: ((length, uses), ...), largest first; with it, how many sequences are filled so.
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -244,7 +244,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
                     columns.append(pa.array(data, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "crc", "ids"][: len(columns)])
 
-    return run
+    return lean(run)
 
 
 def _slots(plan: Plan) -> dict[int, np.ndarray]:
@@ -283,7 +283,7 @@ def _seat(slots):
                 [*(names[i] for i in keep), "sequence_id", "offset"],
             )
 
-    return run
+    return lean(run)
 
 
 def best_fit_packing(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import byte_rows, isolate, restore
+from vinculum.llm.common import byte_rows, isolate, lean, restore
 
 DIMS = 4096
 _FOLD = np.full(256, 32, np.uint32)  # what is not a letter separates words
@@ -116,6 +116,7 @@ class Model:
         return lang.tolist(), np.clip(score, 0, 1)
 
 
+@lean
 def _profiles(batches):
     for batch in batches:
         for at, texts in byte_rows(batch, 1):
@@ -139,7 +140,7 @@ def _predicted(model, text_at: int):
                     scores.append(float(score))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "_lang", "_score"])
 
-    return run
+    return lean(run)
 
 
 def language_id(

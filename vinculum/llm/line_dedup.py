@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import SPACE, byte_rows, input_bytes, isolate, materialize, n_points, restore
+from vinculum.llm.common import SPACE, byte_rows, input_bytes, isolate, lean, materialize, n_points, restore
 
 _STRIP = SPACE.encode()
 _BITS_PER_KEY, _PROBES = 16, 4
@@ -116,9 +116,10 @@ def _blocks(min_chars: int, log_shards: int, limit: int = 1 << 20):
         if held:
             yield flush(held)
 
-    return run
+    return lean(run)
 
 
+@lean
 def _shards(batches):
     """Streams blocks sorted by shard; holds one shard at a time."""
     now, held = None, []
@@ -175,9 +176,10 @@ def _suspects(min_chars: int, log_shards: int, filters):
                     ["hi", "lo", "doc"],
                 )
 
-    return run
+    return lean(run)
 
 
+@lean
 def _tested(batches):
     """Beyond the broadcast bound: keys of a shard stream past its filter, which sorts first."""
     filters: dict[int, Bloom] = {}
@@ -223,7 +225,7 @@ def _rewrite(min_chars: int, text_at: int, width: int):
                 [*batch.schema.names[:width], "_lines", "_dropped"],
             )
 
-    return run
+    return lean(run)
 
 
 def line_dedup(
