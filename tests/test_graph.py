@@ -1,7 +1,7 @@
 import pytest
 
 from vinculum.model import Graph
-from vinculum.operators import analysis, degrees, traversal, views
+from vinculum.operators import analysis, clusters, degrees, traversal, views
 from vinculum.sources import exports
 
 
@@ -62,3 +62,13 @@ def test_diff_and_rules(spark, small):
 def test_views(spark, small):
     assert views.file_view(small).count() == 5
     assert got(views.shape(small), "n_nodes", "n_edges", "isolated") == [(6, 5, 1)]
+
+
+def test_clusters(spark, small):
+    g = graph(spark, [("x/a/1", "x/b/2"), ("x/a/1", "y/3"), ("x/b/2", "y/3"), ("y/3", "4")])
+    dirs = spark.createDataFrame([("x",), ("x/a",), ("none",)], "dir string")
+    assert got(clusters.collapsed_nodes(g, dirs), "id", "label") == [("4", "4"), ("x#__agg__", "x · 2"), ("y/3", "y/3")]
+    assert got(clusters.collapsed_edges(g, dirs), "source", "target", "n_edges") == [("x#__agg__", "y/3", 2), ("y/3", "4", 1)]
+    assert clusters.tree_score(graph(spark, [("a", "b"), ("a", "c")])).first()["score"] == 1
+    assert got(clusters.connection_path(small, "e", "a"), "step", "id") == [(0, "e"), (1, "d"), (2, "c"), (3, "a")]
+    assert clusters.modularity(graph(spark, [], ["a"])).first()["modularity"] == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vinculum.functions import paths
 from vinculum.model import Graph
-from vinculum.operators import analysis, degrees, traversal, views
+from vinculum.operators import analysis, clusters, degrees, traversal, views
 from vinculum.plans.query_language import Query
 from vinculum.sources import exports, files, star
 from vinculum.streaming import telemetry
@@ -108,6 +108,16 @@ def _path_length(g: Graph) -> DataFrame:
     return traversal.shortest_path(g, ends[0], ends[1]).agg(F.count("*").alias("n"))
 
 
+def _connection_length(g: Graph) -> DataFrame:
+    ends = g.nodes.agg(F.min("id"), F.max("id")).first()
+    return clusters.connection_path(g, ends[0], ends[1]).agg(F.count("*").alias("n"))
+
+
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = star._places(spark, sf_dir).select("dir").filter("dir LIKE '%/nation_1%'")
+    return inner.union(spark.range(1).select(F.lit("asia")))
+
+
 def _totals(g: Graph) -> DataFrame:
     n = g.nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "kind", "n")
     return n.union(g.edges.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edge"), "kind", "n"))
@@ -157,6 +167,12 @@ def queries() -> dict[str, Run]:
         "packages": lambda spark, d: views.assign_packages(graph(spark, d), _manifests(spark, d)),
         "package_graph": lambda spark, d: views.package_graph(graph(spark, d), _manifests(spark, d)),
         "shape": _on(graph, views.shape),
+        "collapsed_nodes": lambda spark, d: clusters.collapsed_nodes(graph(spark, d), _closed(spark, d)),
+        "collapsed_edges": lambda spark, d: clusters.collapsed_edges(graph(spark, d), _closed(spark, d)),
+        "tree_score": _on(graph, lambda g: clusters.tree_score(g).select(F.round("score", 6).alias("score"))),
+        "modularity": _on(events, lambda g: clusters.modularity(g).select(F.round("modularity", 6).alias("modularity"), "largest_community")),
+        "present_scope": _on(graph, clusters.present_scope),
+        "connection_length": _on(events, _connection_length),
         "export_dot": _on(graph, _lines(exports.dot)),
         "export_graphml": _on(graph, _lines(exports.graphml)),
         "export_mermaid": _on(events, _lines(exports.mermaid)),
@@ -192,6 +208,10 @@ def oracle_sql() -> dict[str, str]:
     depth = """,
 cond AS (SELECT DISTINCT a.scc AS scc, b.scc AS t FROM edges e JOIN sized a ON a.id = e.source JOIN sized b ON b.id = e.target WHERE a.scc <> b.scc),
 chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.depth + 1 FROM chains c JOIN cond x ON x.t = c.scc)"""
+    closed = f", closed AS (SELECT id, CASE WHEN {folder} = 'asia' THEN 'asia' WHEN split_part(\"filePath\", '/', 2) LIKE 'nation_1%' THEN {folder} || '/' || split_part(\"filePath\", '/', 2) END AS c FROM nodes)"
+    communities = _communities_sql().replace("steps AS (\n", "moves AS (\n").replace("FROM steps WHERE target IS NOT NULL", "FROM moves WHERE target IS NOT NULL")
+    events = _E.replace("steps", "moves")
+    links = ", links AS (SELECT source AS a, target AS b FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target)"
     return out | {
         "graph_nodes": f"{_G} SELECT * FROM nodes",
         "graph_edges": f"{_G} SELECT * FROM edges",
@@ -214,7 +234,7 @@ chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.d
         "scc": f"{_G}{_SCC} SELECT * FROM sized",
         "event_scc": f"{_E.replace('steps', 'moves')}{_SCC} SELECT * FROM sized",
         "components": f"{_E.replace('steps', 'moves')}, both_ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), cc(a, b) AS (SELECT a, b FROM both_ways UNION SELECT c.a, s.b FROM cc c JOIN both_ways s ON s.a = c.b) SELECT id, least(id, coalesce(m, id)) AS label FROM nodes LEFT JOIN (SELECT a, min(b) AS m FROM cc GROUP BY a) ON a = id",
-        "communities": _communities_sql().replace("steps AS (\n", "moves AS (\n").replace("FROM steps WHERE target IS NOT NULL", "FROM moves WHERE target IS NOT NULL"),
+        "communities": communities,
         "longest_chain": f"{_G}{_SCC}{depth} SELECT max(depth)::INT AS depth FROM chains",
         "deep_chain": f"{_G}{_SCC}{depth} SELECT max(depth)::INT AS depth FROM chains HAVING max(depth) >= 6",
         "insights": f"{_G}{_VALID}{inst}{_SCC}, hubs AS (SELECT {hub.format(c='n_out')} AS o, {hub.format(c='n_in')} AS i) "
@@ -248,6 +268,12 @@ chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.d
         "package_graph": f"{_G}, p AS (SELECT id, CASE WHEN kind = 'external' THEN 'pkg:ext:' || label ELSE 'pkg:npm:' || split_part(\"filePath\", '/', 2) END AS p FROM nodes) SELECT a.p AS source, b.p AS target, 'import' AS kind, sum(\"count\")::BIGINT AS \"count\" FROM edges JOIN p a ON a.id = source JOIN p b ON b.id = target WHERE a.p <> b.p GROUP BY 1, 2",
         "shape": f"{_G}, pairs AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM edges WHERE source <> target), ends AS (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs), d AS (SELECT id, count(e.id) AS d FROM nodes LEFT JOIN ends e USING (id) GROUP BY id), r AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM d) "
         "SELECT count(*) AS n_nodes, (sum(d) / 2)::BIGINT AS n_edges, round(sum(d) / count(*), 6) AS mean_degree, max(d) AS max_degree, round(2 * sum(k * d) / (count(*) * sum(d)) - (count(*) + 1) / count(*), 6) AS gini, count(*) FILTER (d = 0) AS isolated FROM r",
+        "collapsed_nodes": f"{_G}{closed} SELECT id, kind, label, \"filePath\" FROM nodes JOIN closed USING (id) WHERE c IS NULL UNION ALL SELECT c || '#__agg__', 'file', split_part(c, '/', -1) || ' · ' || count(*) FILTER (NOT contains(id, '#')), c FROM closed WHERE c IS NOT NULL GROUP BY c",
+        "collapsed_edges": f"{_G}{closed}, moved AS (SELECT coalesce(a.c || '#__agg__', source) AS source, coalesce(b.c || '#__agg__', target) AS target, kind, \"count\" FROM edges LEFT JOIN closed a ON a.id = source LEFT JOIN closed b ON b.id = target) SELECT source, target, kind, sum(\"count\")::BIGINT AS \"count\", count(*) AS n_edges FROM moved WHERE source <> target GROUP BY ALL",
+        "tree_score": f"{_G}{_VALID}, k AS (SELECT id, coalesce(k, 0) AS k FROM nodes LEFT JOIN (SELECT target AS id, count(*) AS k FROM valid WHERE source <> target GROUP BY 1) USING (id)) SELECT round(0.6 * count(*) FILTER (k <= 1) / count(*) + 0.4 * greatest(0, 1 - abs(sum(k) - (count(*) - 1)) / count(*)), 6) AS score FROM k",
+        "modularity": f"{events}{links}, com AS (SELECT * FROM ({communities})), by_c AS (SELECT x.community AS c, count(*) AS d, count(*) FILTER (x.community = y.community) AS own FROM links JOIN com x ON x.id = a JOIN com y ON y.id = b GROUP BY 1) SELECT round(sum(own) / sum(d) - sum(d * d) / (sum(d) * sum(d)), 6) AS modularity, (SELECT max(n) FROM (SELECT count(*) AS n FROM com GROUP BY community)) AS largest_community FROM by_c",
+        "present_scope": f"{_G} " + " UNION ".join(f"SELECT '{c}' AS facet, \"{c}\"::VARCHAR AS value FROM nodes WHERE \"{c}\" IS NOT NULL" for c in ("kind", "environment", "dependencyType")),
+        "connection_length": f"{events}{links}, walk(id, d) AS (SELECT min(id), 0 FROM nodes UNION SELECT b, d + 1 FROM walk JOIN links ON a = walk.id WHERE d < 12) SELECT coalesce(min(d) + 1, 0) AS n FROM walk WHERE id = (SELECT max(id) FROM nodes)",
         "export_dot": f"{_G} SELECT '  \"' || id || '\" [label=\"' || label || '\"];' AS line FROM nodes UNION ALL SELECT '  \"' || source || '\" -> \"' || target || '\" [label=\"' || kind || '\"];' FROM edges",
         "page_links": "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2",
         "telemetry_summary": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM k WHERE rn <= 1000 GROUP BY 1",
