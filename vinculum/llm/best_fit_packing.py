@@ -6,7 +6,8 @@ plan, a list of fillings with multiplicities, is dealt back to the documents by
 within their length.
 
 The plan is found by branch and bound: best-fit decreasing gives the incumbent; each node
-takes the largest length left, enumerates the undominated fillings of the room beside it,
+takes the largest length left, goes through the fillings of the room beside it (any number of
+documents that leave no room for another, least waste first, each made when its turn comes),
 applies one as often as the counts allow, and is cut when the waste so far already rules out
 fewer sequences than the incumbent.  Each node completes its state by best fit, which may
 improve the incumbent; the search ends at the lower bound or after ``max_nodes`` nodes.
@@ -18,8 +19,9 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, bisect_right
-from functools import cache
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -78,47 +80,45 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(f, n) for held in bins.values() for f, n in held.items()]
 
 
-@cache
-def _covers(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
-    """Whether the lengths ``small`` can be dealt into the lengths ``big``: then big dominates."""
-    if not small:
-        return True
-    return any(
-        _covers(tuple(sorted((*big[:i], b - small[0], *big[i + 1 :]), reverse=True)), small[1:])
-        for i, b in enumerate(big)
-        if b >= small[0] and b not in big[:i]
-    )
-
-
-def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three lengths (ascending ``lengths``), least waste first."""
-    found: set[tuple[int, ...]] = set()
-
-    def below(most: int, used: tuple[int, ...]) -> int | None:
-        at = bisect_right(lengths, most) - 1
-        while at >= 0 and used.count(lengths[at]) >= counts[lengths[at]]:
-            at -= 1
-        return lengths[at] if at >= 0 else None
+def fillings(counts: dict[int, int], room: int, slack: int) -> Iterator[tuple[tuple[int, int], ...]]:
+    """All fillings of ``room``, ((length, uses), ...), that leave no room for another document and waste ``slack`` at most.
 
-    first = lengths[: bisect_right(lengths, room)]
-    for a in reversed(first[-8 * width :]):
-        one = (a,)
-        b = below(min(a, room - a), one)
-        if b is None:
-            found.add(one)
-            continue
-        two = (a, b)
-        c = below(min(b, room - a - b), two)
-        found.add(two if c is None else (a, b, c))
-    best = sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[: 4 * width]
-    kept: list[tuple[int, ...]] = []
-    for f in best:
-        if not any(_covers(k, f) for k in kept):
-            kept.append(f)
-    return kept[:width] or [()]
-
-
-def plan_packing(counts: dict[int, int], capacity: int, max_nodes: int = 400, width: int = 6) -> Plan:
+    Least waste first, and small lengths first, as they wait beside the largest; ``reach`` holds, as bits, the sums that the
+    lengths before each one can make, so that no branch is entered in vain.
+    """
+    lengths = sorted((n for n in counts if n <= room), reverse=True)
+    reach = [1]
+    for n in lengths:
+        sums, some, rest = reach[-1], 1, min(counts[n], room // n)
+        while rest:
+            some = min(some, rest)
+            sums |= sums << some * n
+            rest -= some
+            some *= 2
+        reach.append(sums & (1 << room + 1) - 1)
+
+    def exactly(most: int, total: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not total:
+            yield ()
+        for at in range(most - 1, -1, -1):
+            n = lengths[at]
+            if n > total:
+                break
+            for uses in range(min(counts[n], total // n), 0, -1):
+                if reach[at] >> total - uses * n & 1:
+                    for rest in exactly(at, total - uses * n):
+                        yield ((n, uses), *rest)
+
+    for gap in range(min(room, slack) + 1):
+        if reach[-1] >> room - gap & 1:
+            small = [n for n in lengths if n <= gap]
+            for filling in exactly(len(lengths), room - gap):
+                used = dict(filling)
+                if all(used.get(n, 0) >= counts[n] for n in small):
+                    yield filling
+
+
+def plan_packing(counts: dict[int, int], capacity: int, max_nodes: int = 400) -> Plan:
     """Fillings and their multiplicities; see the module's text."""
     counts = {n: c for n, c in counts.items() if c}
     full = [(((capacity, 1),), counts.pop(capacity))] if counts.get(capacity) else []
@@ -127,35 +127,33 @@ def plan_packing(counts: dict[int, int], capacity: int, max_nodes: int = 400, wi
     total, least = sum(n * c for n, c in counts.items()), lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     best = sum(n for _, n in incumbent)
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]  # left, done, sequences, waste
+    stack: list[tuple[dict[int, int], Plan, int, int, int]] = [(counts, [], 0, 0, 0)]  # left, done, sequences, waste, fillings tried
     nodes = 0
     while stack and best > least and nodes < max_nodes:
-        left, done, used, waste = stack.pop()
+        left, done, used, waste, tried = stack.pop()
         if waste > (best - 1) * capacity - total:
             continue
         nodes += 1
-        rest = best_fit(left, capacity)
-        if used + sum(n for _, n in rest) < best:
-            incumbent, best = done + rest, used + sum(n for _, n in rest)
+        if not tried:
+            rest = best_fit(left, capacity)
+            if used + sum(n for _, n in rest) < best:
+                incumbent, best = done + rest, used + sum(n for _, n in rest)
         if not left:
             continue
         top = max(left)
         beside = dict(left)
         beside[top] -= 1
-        if not beside[top]:
-            del beside[top]
-        children = []
-        for f in fillings(sorted(beside), beside, capacity - top, width):
-            uses: dict[int, int] = {}
-            for x in (top, *f):
-                uses[x] = uses.get(x, 0) + 1
-            times = min(left[x] // u for x, u in uses.items())
-            after = {n: c - times * uses.get(n, 0) for n, c in left.items() if c > times * uses.get(n, 0)}
-            spilt = waste + times * (capacity - sum(x * u for x, u in uses.items()))
-            # what is left beside a filling of three lengths may still take more: best fit says
-            filling = tuple(sorted(uses.items(), reverse=True))
-            children.append((after, [*done, (filling, times)], used + times, spilt))
-        stack += reversed(children)
+        f = next(islice(fillings(beside, capacity - top, (best - 1) * capacity - total - waste), tried, None), None)
+        if f is None:
+            continue
+        stack.append((left, done, used, waste, tried + 1))
+        uses = dict(f)
+        uses[top] = uses.get(top, 0) + 1
+        times = min(left[x] // u for x, u in uses.items())
+        after = {n: c - times * uses.get(n, 0) for n, c in left.items() if c > times * uses.get(n, 0)}
+        spilt = waste + times * (capacity - sum(x * u for x, u in uses.items()))
+        filling = tuple(sorted(uses.items(), reverse=True))
+        stack.append((after, [*done, (filling, times)], used + times, spilt, 0))
     return full + incumbent
 
 
