@@ -170,6 +170,9 @@ class _Words(dict):
     def __init__(self, tokenizer, limit: int = 550_000):
         super().__init__()
         self.encode, self.limit, self.old = tokenizer.encode, limit, {}
+        self.tokenizer = tokenizer
+        tokenizer.encode_special_tokens = True  # a chunk is spelt out; texts with a mark are not cut into chunks
+        self.marks = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, chunk: bytes) -> bytes:
         found = self.old.get(chunk)
@@ -183,6 +186,17 @@ class _Words(dict):
         self[chunk] = found
         return found
 
+    def whole(self, text: bytes) -> bytes:
+        """Ids of a text that may hold added tokens such as <|endoftext|>, which have ids of their own."""
+        self.tokenizer.encode_special_tokens = False
+        ids = self.encode(text.decode(), add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        return array("I", ids).tobytes()
+
+    def marked(self, text: bytes) -> bool:
+        low = text.lower()
+        return any(m in low for m in self.marks)
+
     def trim(self) -> None:
         if len(self) > self.limit:
             self.old = dict(self)
@@ -209,10 +223,13 @@ def _chunks(text: bytes) -> list[bytes]:
 
 
 def token_bytes(texts: list[bytes], words: _Words) -> list[bytes]:
-    """Ids of each text.  The tokenizer drops white space and never joins across it, so chunks are encoded once."""
+    """Ids of each text.  The tokenizer drops white space and never joins across it, so chunks are encoded once.
+
+    Texts that hold an added token, in any case, are encoded whole.
+    """
     words.trim()
     get = words.__getitem__
-    return [b"".join(map(get, _chunks(t))) for t in texts]
+    return [words.whole(t) if words.marked(t) else b"".join(map(get, _chunks(t))) for t in texts]
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
@@ -221,7 +238,6 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         words, end = _Words(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
