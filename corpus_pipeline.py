@@ -32,10 +32,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the group."""
-    found = ngram_join(docs)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_keep")).select(*docs.columns)
+    """One document of each group stays: that of the least id (null ids last), of equal ids one.
+
+    Rows are told apart by a key of their own, so null and repeated ids lose or keep nothing else.
+    """
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = ngram_join(keyed.select("_row", "text"), id_col="_row").select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    keep = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first"))
+    return keyed.join(keep.select(F.col("first._row").alias("_row")), "_row").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
