@@ -16,6 +16,7 @@ SPACE = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression that Java, RE2 and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 M64 = (1 << 64) - 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def isolate(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[tuple[str, str]]]:
@@ -57,7 +58,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vinculum/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # once the table is written, nothing reads the shuffles that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -67,15 +73,12 @@ def release(*written: DataFrame) -> None:
     """Delete tables of :func:`materialize` that nothing reads any more.
 
     What was made from them must be written already, as a lost executor is otherwise made good
-    from them.  Spark drops shuffle files when the driver's collector finds their plans dead, so
-    that is asked for here too: a row of jobs would else keep the shuffles of all of them.
+    from them.
     """
     for df in written:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if written:
-        written[0].sparkSession._jvm.System.gc()
 
 
 def lean(run: Callable) -> Callable:

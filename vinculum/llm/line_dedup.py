@@ -46,11 +46,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Bloom:
-    """A Bloom filter of 2**log_m cells; positions are taken modulo its size, so it can be halved."""
+    """A Bloom filter of 2**log_m cells; positions are taken modulo its size, so it can be halved.
 
-    def __init__(self, log_m: int, cells: np.ndarray | None = None):
-        self.log_m = log_m
-        self.cells = np.zeros(1 << log_m, bool) if cells is None else cells
+    One that was read back keeps its cells as bits and is only asked.
+    """
+
+    def __init__(self, log_m: int, cells: np.ndarray | None = None, bits: np.ndarray | None = None):
+        self.log_m, self.bits = log_m, bits
+        self.cells = np.zeros(1 << log_m, bool) if cells is None and bits is None else cells
 
     def _at(self, h: np.ndarray) -> np.ndarray:
         a = _mix(h)
@@ -62,7 +65,10 @@ class Bloom:
         self.cells[self._at(h)] = True
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        return self.cells[self._at(h)].all(axis=0)
+        at = self._at(h)
+        if self.bits is not None:
+            return ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+        return self.cells[at].all(axis=0)
 
     def folded(self) -> Bloom:
         """Halved while a twentieth of its cells at most are set: no key is lost."""
@@ -77,7 +83,7 @@ class Bloom:
 
     @staticmethod
     def unpack(log_m: int, data: bytes) -> Bloom:
-        return Bloom(log_m, np.unpackbits(np.frombuffer(data, np.uint8))[: 1 << log_m].astype(bool))
+        return Bloom(log_m, bits=np.frombuffer(data, np.uint8))
 
 
 def fold(blocks: list[np.ndarray]) -> Bloom:

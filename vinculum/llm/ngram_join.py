@@ -1,26 +1,31 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word shingles; equal sets are one *class*.  A class is known by its
-sketch, the ``SKETCH`` smallest shingle hashes (its tokens).
-
-*Why sketches lose no link.*  Of a pair with similarity s >= 0.8, each of the smallest hashes
-of the union is shared with probability s, and a shared one is in both sketches.  That no
-token at all is shared has probability 0.2**64 or less, fewer than ``LEAST`` = 20 below
-4e-16: rarer than a collision of the 64-bit shingle hashes themselves.  Tokens of more than
-``HOT`` classes (a shared passage) are left out where they are at most half of a sketch:
-then 0.3 of the union's smallest hashes at least are shared and not hot, and 0.7**64 = 1e-10
-bounds a miss.
-
-1. Leaders: every token names two classes that hold it, and the other classes are verified
-   against those of their tokens' leaders that look most alike.  This is linear, and joins
-   most of a large group of near copies without meeting its pairs.
-2. Groups: classes are put with those that share their most common token, dealt into chunks
-   of about ``CHUNK``.  The matrix has a row for each token of a group's token union.
-3. A class probes the groups that have members of larger components: the tokens it shares
-   with a group's union bound its overlap with any member, and groups under the bound stay
-   closed.  For an opened group the bound is taken once more with the union of whole shingle
-   sets, then members are compared in full; one link to each component is kept.
-4. Components of all verified links.
+Documents are sets of word shingles (tokens, 64-bit hashes); texts of the same words are one
+*class*, and only one document of a class is looked at.
+
+1. Frequencies.  Blocks of classes send their tokens' fingerprints, sorted and delta-coded, to
+   the fingerprints' shards; a shard counts how many classes hold each one and answers for
+   those that two or more hold.  A class of which more than a fifth (at a similarity of 0.8)
+   is its own alone can link with nothing and is done.  Of the others the shared fingerprints
+   are kept, rarest first.
+2. Tokens.  Let x and y link, and t be their first common token in the order (frequency,
+   fingerprint).  What stands before t in x is not common, so the overlap is at most n - place,
+   and it must be at least 0.8 / 1.8 of both sizes: so t bounds the size of a partner,
+   ``most``.  A class has a posting for each token whose bound still admits a partner.  Every
+   linked pair shares a posting whose bounds admit both: nothing is lost by looking no further.
+3. Leaders: of each token the class with the fewest rarer tokens is compared with one round
+   of the others, each with the leader it shares most tokens with.  This is linear and joins
+   most of a large group of near copies without meeting its pairs; it only saves work.
+4. Groups: classes of one component (others: those that share their most common token) are
+   similar and are dealt into groups of about ``CHUNK``.  The matrix has a row for each token
+   of a group's union of postings, with the group's sizes and bounds.  A class probes groups
+   with members of larger components through the tokens that still span two components; a
+   group met is opened only if its whole token union holds enough of the class's tokens, and
+   one link to each component is kept.
+5. Components of all links found.
+
+Fingerprints are as wide as the corpus asks for (48 bits or more): the sets compared are those
+fingerprints that two classes hold, which is all that an overlap can consist of.
 """
 
 from __future__ import annotations
@@ -28,15 +33,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vinculum.llm.common import byte_rows, isolate, lean, materialize, parts_for, release
+from vinculum.llm.compact import binaries, lists, narrow, pack_sorted, unpack_sorted, widen
 from vinculum.llm.components import components
 from vinculum.llm.line_dedup import Bloom
 
-SKETCH, LEAST, HOT, CHUNK = 64, 20, 256, 128
+#: Classes in a group; queries that one task compares with a group; leader rounds.
+CHUNK, LOAD, ROUNDS = 128, 512, 2
+_HEAD = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<i8")])
+_NODES = "node long, hi long, lo long, n int, items binary, t array<long>, most array<int>"
 
 
 class _Hashes(dict):
@@ -60,83 +70,210 @@ def shingles(words: list[bytes], hashes: dict[bytes, int], width: int) -> np.nda
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def _sets(width: int, wanted=None):
-    """(doc, set_hi, set_lo, n, sketch), or with ``wanted``, a filter of ids, (doc, set_hi, set_lo, items)."""
+def need(n, m, percent: int):
+    """Tokens that sets of sizes n and m must share to link (whole numbers, arrays or columns' SQL alike)."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def bounds(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The largest size of a partner whose first common token is at ``place``."""
+    return (100 + percent) * (n - place) // percent - n
+
+
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    both = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), ">i8")
+    return int(both[0]), int(both[1])
+
+
+@lean
+def _keys(batches):
+    """(doc, hi, lo, words): the hash of each text's words, null for none."""
+    for batch in batches:
+        ids = batch.column(0)
+        for at, texts in byte_rows(batch, 1):
+            split = [t.lower().split() for t in texts]
+            keys = [_digest(w) if w else (None, None) for w in split]
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(at, len(texts)), *(pa.array(x, pa.int64()) for x in zip(*keys, strict=True)), pa.array(list(map(len, split)), pa.int64())],
+                ["doc", "hi", "lo", "words"],
+            )
+
+
+def _requests(width: int, bits: int, log_shards: int, wanted, block_tokens: int):
+    """Blocks of classes: a head row (width 0), and a row of sorted fingerprints and places in the block for each shard."""
+
+    def flush(block: int, heads: list, sets: list[np.ndarray]):
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate(sets) >> np.uint64(64 - bits)
+        own = np.repeat(np.arange(len(sets), dtype="<u2"), n)
+        order = np.argsort(flat, kind="stable")
+        flat, own = flat[order], own[order]
+        head = np.array([(*h, k) for h, k in zip(heads, n.tolist(), strict=True)], _HEAD)
+        shard = (flat >> np.uint64(bits - log_shards)).astype(np.int64)
+        found, starts = np.unique(shard, return_index=True)
+        ends = [*starts[1:].tolist(), len(flat)]
+        rows = [(hash(block) % (1 << log_shards), block, 0, head.tobytes(), b"")]
+        for s, a, b in zip(found.tolist(), starts.tolist(), ends, strict=True):
+            rows.append((s, block, *pack_sorted(flat[a:b] - np.uint64(s << (bits - log_shards))), own[a:b].tobytes()))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "block", "width", "a", "b"])
 
     def run(batches):
-        hashes = _Hashes()
-        bloom = Bloom.unpack(*wanted.value) if wanted is not None else None
+        part, serial, size = TaskContext.get().partitionId(), 0, 0
+        hashes, heads, sets = _Hashes(), [], []
+        bloom = Bloom.unpack(*wanted.value)
         for batch in batches:
-            ids = batch.column(0)
-            if bloom is not None:
-                keep = bloom.has(ids.fill_null(-1).to_numpy().view(np.uint64)) if batch.num_rows else np.zeros(0, bool)
-                batch = batch.filter(pa.array(keep))
-                ids = batch.column(0)
-            for at, texts in byte_rows(batch, 1):
-                digest, n, items = [], [], []
+            keep = bloom.has(batch.column(0).fill_null(-1).to_numpy().view(np.uint64)) if batch.num_rows else np.zeros(0, bool)
+            batch = batch.filter(pa.array(keep))
+            for _, texts in byte_rows(batch, 1, 64):
                 for text in texts:
-                    s = shingles(text.lower().split(), hashes, width)
-                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    n.append(len(s))
-                    items.append(s if bloom is not None else s[:SKETCH].view(np.int64))
+                    words = text.lower().split()
+                    if words:
+                        heads.append(_digest(words))
+                        sets.append(shingles(words, hashes, width))
+                        size += len(sets[-1])
                 if len(hashes) > 250_000:
                     hashes.clear()
-                both = np.frombuffer(b"".join(digest), ">i8").astype(np.int64).reshape(-1, 2)
-                head = [ids.slice(at, len(texts)), pa.array(both[:, 0]), pa.array(both[:, 1])]
-                if bloom is not None:
-                    yield pa.RecordBatch.from_arrays([*head, pa.array([s.tobytes() for s in items], pa.binary())], ["doc", "set_hi", "set_lo", "items"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*head, pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc", "set_hi", "set_lo", "n", "sketch"])
+                if size >= block_tokens or len(sets) > 60_000:
+                    yield flush(part << 20 | serial, heads, sets)
+                    serial, size, heads, sets = serial + 1, 0, [], []
+        if sets:
+            yield flush(part << 20 | serial, heads, sets)
+
+    return lean(run)
+
+
+def _counted(bits: int, log_shards: int):
+    """Rows sorted by shard: heads go through; of fingerprints that two classes hold: the number, whose it is, and the frequency's logarithm."""
+
+    def answer(shard: int, rows: list):
+        parts = [unpack_sorted(w, a) for _, w, a, _ in rows]
+        flat = np.concatenate(parts)
+        order = np.argsort(flat, kind="stable")
+        ranked = flat[order]
+        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        run = np.cumsum(first) - 1
+        count = np.bincount(run)
+        level = np.ceil(np.log2(count)).astype(np.uint8)  # 0: one class alone
+        own = np.zeros(len(flat), np.uint8)
+        own[order] = level[run]
+        out, at = [], 0
+        for (block, _, _, b), part in zip(rows, parts, strict=True):
+            mine = own[at : at + len(part)]
+            at += len(part)
+            shared = mine > 0
+            if shared.any():
+                wide, data = narrow(part[shared] + np.uint64(shard << (bits - log_shards)))
+                out.append((block, wide, data, np.frombuffer(b, "<u2")[shared].tobytes(), mine[shared].tobytes()))
+        return out
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for shard, block, width, a, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "width", "a", "b")), strict=True):
+                if not width:
+                    out.append((block, 0, a, b"", b""))
+                    continue
+                if shard != now:
+                    if held:
+                        out += answer(now, held)
+                    now, held = shard, []
+                held.append((block, width, a, b))
+            if out:
+                yield _replies(out)
+        if held and (out := answer(now, held)):
+            yield _replies(out)
 
     return lean(run)
 
 
-def _linked(percent: int):
-    """Of pairs with their sets, those that link."""
+def _replies(rows: list) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "width", "a", "b", "c"])
+
+
+def _placed(percent: int, item_bytes: int):
+    """Rows sorted by block, its head first: the classes, with shared fingerprints and postings of those that may link."""
+
+    def out(block: int, head: np.ndarray, rows: list):
+        n = head["n"].astype(np.int64)
+        tokens = np.concatenate([widen(w, a) for w, a, _, _ in rows]) if rows else np.zeros(0, np.uint64)
+        own = np.concatenate([np.frombuffer(b, "<u2") for _, _, b, _ in rows]) if rows else np.zeros(0, np.uint16)
+        level = np.concatenate([np.frombuffer(c, np.uint8) for _, _, _, c in rows]) if rows else np.zeros(0, np.uint8)
+        shared = np.bincount(own, minlength=len(n))
+        may = (100 * shared >= percent * n) & (shared > 0)
+        keep = may[own]
+        tokens, own, level = tokens[keep], own[keep], level[keep]
+        order = np.argsort(tokens, kind="stable")
+        order = order[np.argsort(own[order], kind="stable")]  # by class, then fingerprint
+        tokens, own, level = tokens[order], own[order].astype(np.int64), level[order]
+        counts = np.where(may, shared, 0)
+        items = binaries(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :item_bytes], counts, may)
+        order = np.argsort(own << 8 | level, kind="stable")  # by class, frequency, fingerprint
+        tokens, own = tokens[order], own[order]
+        place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts) + np.maximum(n - shared, 0)[own]
+        most = bounds(n[own], place, percent)
+        ok = most >= -(-percent * n[own] // 100)
+        posted = np.bincount(own[ok], minlength=len(n))
+        node = (block << 16) + np.arange(len(n))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node, pa.int64()), pa.array(head["hi"], pa.int64()), pa.array(head["lo"], pa.int64()), pa.array(n.astype(np.int32)),
+             items, lists(tokens[ok].view(np.int64), posted, pa.int64()), lists(np.minimum(most[ok], 2**31 - 1).astype(np.int32), posted, pa.int32())],
+            [c.split()[0] for c in _NODES.split(", ")],
+        )
 
     def run(batches):
+        now, head, held = None, None, []
         for batch in batches:
-            keep = []
-            for (_, xs), (_, ys) in zip(byte_rows(batch, "x"), byte_rows(batch, "y"), strict=True):
-                for x, y in zip(xs, ys, strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for block, width, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("block", "width", "a", "b", "c")), strict=True):
+                if block != now:
+                    if head is not None:
+                        yield out(now, head, held)
+                    now, head, held = block, None, []
+                if width:
+                    held.append((width, a, b, c))
+                else:
+                    head = np.frombuffer(a, _HEAD)
+        if head is not None:
+            yield out(now, head, held)
 
     return lean(run)
 
 
-def _opened(percent: int):
-    """Rows sorted by group, members first: a query's links to the larger components in the group."""
+def _opened(percent: int, item_bytes: int):
+    """Rows sorted by group and split, members first: each query's links to members of larger components."""
 
     def run(batches):
         group, held, flat = None, [], None
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("group", "asks", "node", "size", "label")]
+            columns = [batch.column(c).to_pylist() for c in ("group", "split", "asks", "node", "n", "size", "label")]
             sets = (x for _, some in byte_rows(batch, "items") for x in some)
-            for g, asks, node, size, label, items in zip(*columns, sets, strict=True):
-                if g != group:
-                    group, held, flat = g, [], None
+            for g, split, asks, node, n, size, label, items in zip(*columns, sets, strict=True):
+                if (g, split) != group:
+                    group, held, flat = (g, split), [], None
+                q = widen(item_bytes, items)
                 if not asks:
-                    held.append((node, size, label, np.frombuffer(items, np.uint64)))
+                    held.append((node, n, size, label, q))
                     continue
                 if not held:
                     continue
                 if flat is None:
-                    nodes, ranks, labels, whole = zip(*held, strict=True)
-                    flat, sizes = np.concatenate(whole), np.array([len(x) for x in whole])
-                    starts, union = np.cumsum(sizes) - sizes, np.unique(flat)
-                    ranks, labels = np.array(ranks), np.array(labels)
-                q = np.frombuffer(items, np.uint64)
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                if 100 * int((union[at] == q).sum()) < percent * len(q):
-                    continue
+                    nodes, sizes, ranks, labels, whole = zip(*held, strict=True)
+                    flat, own = np.concatenate(whole), np.fromiter(map(len, whole), np.int64, len(whole))
+                    starts, union = np.cumsum(own) - own, np.unique(flat)
+                    sizes, ranks, labels = np.array(sizes), np.array(ranks), np.array(labels)
                 larger = (ranks > size) | (ranks == size) & (labels > label)
+                larger &= (100 * sizes >= percent * n) & (percent * sizes <= 100 * n)
+                if not larger.any():
+                    continue
+                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+                if int((union[at] == q).sum()) < need(n, int(sizes[larger].min()), percent):
+                    continue  # the group's union holds too little of the query: it stays closed
                 at = np.minimum(np.searchsorted(q, flat), len(q) - 1)
                 both = np.add.reduceat((q[at] == flat).astype(np.int64), starts)
-                ok = np.flatnonzero(larger & (100 * both >= percent * (len(q) + sizes - both)))
+                ok = np.flatnonzero(larger & (both >= need(n, sizes, percent)))
                 # one link to each component is enough
                 out += [(node, nodes[int(i)]) for i in ok[np.unique(labels[ok], return_index=True)[1]]]
             if out:
@@ -146,7 +283,7 @@ def _opened(percent: int):
     return lean(run)
 
 
-def _ids_filter(ids: DataFrame, limit: int):
+def ids_filter(ids: DataFrame, limit: int):
     """A Bloom filter of ids as (log_m, bits), or None beyond ``limit`` bytes; built by shards, merged at the driver."""
     n = ids.count()
     log_m = max(10, int(np.ceil(np.log2(max(1, 16 * n)))))
@@ -166,64 +303,97 @@ def _ids_filter(ids: DataFrame, limit: int):
 
 
 class _Join:
-    def __init__(self, texts: DataFrame, classes: DataFrame, width: int, percent: int, filter_bytes: int):
-        self.texts, self.classes, self.width, self.percent, self.filter_bytes = texts, classes, width, percent, filter_bytes
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """node, items: the whole shingle sets of some class nodes, made again from their texts."""
-        nodes = materialize(nodes.distinct().join(self.classes.select("node", "doc", "set_hi", "set_lo"), "node"))
-        bits = _ids_filter(nodes.select("doc"), self.filter_bytes)
-        spark = self.texts.sparkSession
-        if bits is not None:
-            texts, wanted = self.texts, spark.sparkContext.broadcast(bits)
-        else:  # too many for a filter: the ids meet the texts by a join
-            texts = self.texts.join(nodes.select(F.col("doc").alias("_d")).distinct(), F.col("doc").eqNullSafe(F.col("_d")), "left_semi")
-            wanted = spark.sparkContext.broadcast((6, b"\xff" * 8))
-        found = texts.mapInArrow(_sets(self.width, wanted), "doc long, set_hi long, set_lo long, items binary")
-        # of equal sets only one is wanted
-        own = found.drop("doc").join(nodes.select("node", "set_hi", "set_lo"), ["set_hi", "set_lo"]).dropDuplicates(["node"])
-        own = materialize(own.select("node", "items"))
-        release(nodes)
-        wanted.destroy()
-        return own
-
-    def fits(self, n: Column, m: Column) -> Column:
+    def __init__(self, nodes: DataFrame, percent: int, item_bytes: int):
+        self.nodes, self.percent, self.item_bytes = nodes, percent, item_bytes
+
+    def alike(self, n: Column, m: Column) -> Column:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
-    def led(self, pairs: DataFrame, each: int = 3) -> DataFrame:
-        """Links among pairs (a, b): for each a the ``each`` b that look most alike are verified, if they look alike at all.
+    def compare(self, members: DataFrame, asks: DataFrame) -> DataFrame:
+        """Links (a, b) of the queries with the members of the groups they ask.
 
-        Nothing is lost here for good: the groups are probed for what is not linked yet.
+        Both are (group, node, size, label).  A group of many queries is compared by several
+        tasks, each with the members and at most about ``LOAD`` of the queries.
         """
-        often = pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
-        first = F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), "b"))
-        pairs = often.withColumn("first", first).filter(F.col("first") <= 2 * each).select("a", "b")
-        own = self.classes.select("node", "n", F.transform("sketch", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("s"))
-        # b may be a leader that many pairs share: it is joined while the rows are thin
-        held = pairs.join(own.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(own.toDF("a", "na", "sa"), "a")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("shared"), "b"))
-        alike = F.col("shared") >= 0.6 * F.least(F.col("na"), F.lit(SKETCH))
-        best = held.select("a", "b", "na", shared.alias("shared")).filter(alike)
-        best = materialize(best.withColumn("rank", rank).filter(F.col("rank") <= each).select("a", "b"))
-        sets = self.sets(best.select(F.explode(F.array("a", "b")).alias("node")))
-        full = best.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        links = materialize(full.mapInArrow(_linked(self.percent), "a long, b long"))
-        release(best, sets)
+        load = asks.groupBy("group").agg(F.floor((F.count("*") - 1) / LOAD).alias("more"))
+        members = members.join(load, "group").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("more").cast("int"))))
+        asks = asks.join(load, "group").withColumn("split", F.pmod(F.xxhash64("node"), F.col("more") + 1).cast("int"))
+        roles = members.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True))).drop("more")
+        roles = materialize(roles)
+        both = roles.join(self.nodes.select("node", "n", "items"), "node")
+        parts = parts_for(self.nodes.select("items"), 4 << 20)
+        order = both.repartition(parts, "group", "split").sortWithinPartitions("group", "split", "asks")
+        links = materialize(order.mapInArrow(_opened(self.percent, self.item_bytes), "a long, b long"))
+        release(roles)
         return links
 
+    def active(self, postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Postings with component (label, size) of tokens that may still join two components; sizes that no partner admits go."""
+        if labels is None:
+            out = postings.withColumns({"label": F.col("node"), "size": F.lit(1).cast("long")})
+        else:
+            sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select("node", "label", "size")
+            out = postings.join(sized, "node", "left").withColumns({"label": F.coalesce("label", "node"), "size": F.coalesce("size", F.lit(1))})
+        spans = out.groupBy("t").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("n").alias("_n"), F.max("most").alias("_most"))
+        out = out.join(spans.filter("_a < _b"), "t").filter("most >= _n and n <= _most")
+        return materialize(out.select("t", "node", "n", "most", "label", "size"))
+
+    def led(self, active: DataFrame, each: int) -> DataFrame:
+        """Links of classes with leaders: of each token, the member of the largest component with the fewest rarer tokens."""
+        one = F.struct("node", "n", "most", "label", "size")
+        best = active.groupBy("t").agg(F.max_by(one, F.struct("size", F.col("most") / F.col("n"), "node")).alias("l"))
+        pairs = active.join(best, "t").filter("label <> l.label and n <= l.most and l.n <= most").filter(self.alike(F.col("n"), F.col("l.n")))
+        pairs = pairs.groupBy("node", F.col("l.node").alias("group")).agg(F.count("*").alias("times"))
+        first = F.row_number().over(W.partitionBy("node").orderBy(F.desc("times"), "group"))
+        pairs = materialize(pairs.withColumn("first", first).filter(F.col("first") <= each).select("group", "node"))
+        # the leader counts as the larger: every query may link with it
+        asks = pairs.withColumns({"size": F.lit(0).cast("long"), "label": F.col("node")})
+        leaders = pairs.select("group").distinct().select("group", F.col("group").alias("node"), F.lit(1).cast("long").alias("size"), F.col("group").alias("label"))
+        links = self.compare(leaders, asks)
+        release(pairs)
+        return links
 
-def _need(n: Column, hot: Column) -> Column:
-    """Tokens that a class must share with a group's union to link with a member."""
-    small = F.ceil(n * 0.8) - F.greatest(F.lit(0), F.floor(n * 1.25) - SKETCH)
-    return F.greatest(F.lit(1), F.when(n <= SKETCH, small).otherwise(F.lit(LEAST)) - hot)
-
+    def probed(self, active: DataFrame) -> DataFrame:
+        """Links that the matrix of tokens and groups finds."""
+        top = active.groupBy("node").agg(F.first("label").alias("label"), F.first("size").alias("size"), F.min_by("t", "most").alias("top"))
+        home = F.when(F.col("size") > 1, F.col("label")).otherwise(F.col("top"))
+        top = top.withColumn("home", F.xxhash64(home, F.col("size") > 1))
+        full = top.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        group = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("chunks")))
+        placed = materialize(top.join(full, "home").select("node", "label", "size", group.alias("group")))
+        rank = F.struct("size", "label")
+        rows = active.join(placed.select("node", "group"), "node").withColumn("rank", rank)
+        matrix = rows.groupBy("t", "group").agg(F.max("rank").alias("top"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("most").alias("bound"))
+        fits = (F.col("rank") < F.col("top")) & (F.col("n") <= F.col("bound")) & (F.col("lo") <= F.col("most"))
+        fits = fits & (100 * F.col("hi") >= self.percent * F.col("n")) & (100 * F.col("n") >= self.percent * F.col("lo"))
+        hits = active.withColumn("rank", rank).join(matrix, "t").filter(fits).select("group", "node", "size", "label").distinct()
+        hits = materialize(hits)
+        members = placed.join(hits.select("group").distinct(), "group", "left_semi").select("group", "node", "size", "label")
+        links = self.compare(members, hits)
+        release(placed, hits)
+        return links
 
-def _marked(kept: DataFrame, labels: DataFrame) -> DataFrame:
-    """Token rows with the component of their class and how many classes it has."""
-    labels = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label").select("node", "label", "size")
-    out = kept.select("t", "node", "n", "hot", "top").join(labels, "node", "left")
-    return materialize(out.withColumns({"label": F.coalesce("label", "node"), "size": F.coalesce("size", F.lit(1))}))
+    def links(self) -> list[DataFrame]:
+        posted = self.nodes.select("node", "n", F.explode(F.arrays_zip("t", "most")).alias("p"))
+        postings = materialize(posted.select("node", "n", "p.t", "p.most"))
+        found: list[DataFrame] = []
+        labels = None
+        for turn in range(ROUNDS + 1):
+            active = self.active(postings, labels)
+            if labels is not None:
+                release(labels)
+            if active.isEmpty():
+                release(active)
+                break
+            if turn < ROUNDS:
+                found.append(self.led(active, 1 + turn))
+                every = found[0] if len(found) == 1 else found[0].union(found[1])
+                labels = components(every)
+            else:
+                found.append(self.probed(active))
+            release(active)
+        release(postings)
+        return found
 
 
 def ngram_join(
@@ -233,77 +403,64 @@ def ngram_join(
     width: int = 5,
     percent: int = 80,
     filter_bytes: int = 64 << 20,
+    block_tokens: int = 2_000_000,
+    shard_tokens: int = 1 << 20,
 ) -> DataFrame:
-    """Group documents linked by shingle Jaccard similarity of ``percent`` hundredths (80 at least) or more.
+    """Group documents linked by shingle Jaccard similarity of ``percent`` hundredths (1 to 100) or more.
 
     Words are runs without ASCII white space, A-Z lower-cased.  Returns a row per document:
     the id, n_shingles, component_id (the smallest id reachable by links, itself included)
-    and class_id (equal for equal sets, null for empty ones).
+    and class_id (equal for texts of the same words, null for those without a word).
 
     Null and empty texts, and texts without a word, have an empty set and link with nothing.
     Rows with equal ids are documents of their own, linked only if their sets are.  A null
-    id has no part in component_id, which is null if no member has an id.  An empty table
-    gives no row.  Extra columns are ignored.
+    id has no part in component_id, which is null if no member has an id.  Ids that are no
+    whole numbers are cast to long and must allow it.  An empty table gives no row.  Extra
+    columns are ignored.
     """
-    if percent < 80:
-        raise ValueError("sketches are sized for a similarity of 0.8 or more")
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    spark = docs.sparkSession
     frame, (doc, text), _ = isolate(docs, id_col, text_col)
     texts = frame.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    sets = materialize(texts.mapInArrow(_sets(width), "doc long, set_hi long, set_lo long, n long, sketch array<long>"))
-    classes = sets.filter("n > 0").groupBy("set_hi", "set_lo").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-    join = _Join(texts, classes, width, percent, filter_bytes)
-
-    tokens = classes.select("node", "n", F.explode("sketch").alias("t"))
-    common = materialize(tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
-    own = W.partitionBy("node")
-    hot = F.col("df") > HOT
-    kept = tokens.join(common, "t").withColumn("hot", F.sum(hot.cast("long")).over(own))
-    kept = kept.filter(~hot | (2 * F.col("hot") > F.least("n", F.lit(SKETCH))))
-    kept = materialize(kept.withColumns({"score": F.avg(F.log("df")).over(own), "top": F.max(F.struct("df", "t")).over(own)}))
-
-    release(common)
-
-    # leaders: of each token the class whose tokens are the most common, and one by lot
-    lot = F.xxhash64("node", F.pmod("t", F.lit(8)))
-    one = F.struct("node", "n")
-    leaders = kept.groupBy("t").agg(F.max_by(one, F.struct("score", "node")).alias("x"), F.max_by(one, F.struct(lot, F.col("node"))).alias("y"))
-    leaders = materialize(leaders)
-    near = kept.select("t", F.col("node").alias("a"), "n").join(leaders, "t").select("a", "n", F.explode(F.array("x", "y")).alias("l"))
-    near = near.filter((F.col("a") != F.col("l.node")) & join.fits(F.col("n"), F.col("l.n")))
-    links = join.led(near.select("a", F.col("l.node").alias("b")))
-    release(leaders)
-    labels = components(links)
-    marked = _marked(kept, labels)
-    release(kept, labels)
-
-    # what is not in one component yet: a class probes groups with members of larger components
-    mixed = marked.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("t")
-    open_ = materialize(marked.join(mixed, "t").withColumn("rank", F.struct("size", "label")))
-    release(marked)
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.df") / CHUNK))
-    placed = open_.withColumn("group", F.xxhash64("top.t", chunk))
-    matrix = placed.groupBy("t", "group").agg(F.max("rank").alias("most"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    room = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
-    hits = open_.select("t", F.col("node").alias("a"), "n", "hot", "rank").join(matrix, "t").filter((F.col("rank") < F.col("most")) & room)
-    bound = hits.groupBy("a", "group").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("rank").alias("rank"))
-    opened = materialize(bound.filter(F.col("shared") >= _need(F.col("n"), F.col("hot"))).select("group", F.col("a").alias("node"), "rank"))
-    members = placed.select("group", "node", "rank").distinct().join(opened.select("group").distinct(), "group", "left_semi")
-    roles = materialize(members.withColumn("asks", F.lit(False)).union(opened.withColumn("asks", F.lit(True))))
-    release(open_, opened)
-    whole = join.sets(roles.select("node"))
-    both = roles.join(whole, "node").select("group", "asks", "node", "rank.size", "rank.label", "items")
-    order = both.repartition(parts_for(whole, 4 << 20), "group").sortWithinPartitions("group", "asks")
-    second = materialize(order.mapInArrow(_opened(percent), "a long, b long"))
-    release(roles, whole)
-
-    final = components(links.union(second))
-    named = classes.select("node", "doc", "set_hi", "set_lo").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = materialize(named.join(least, "label").select("set_hi", "set_lo", "component_id", F.col("node").alias("class_id")))
-    release(classes, links, second, final)
-    out = sets.select("doc", "set_hi", "set_lo", "n").join(named, ["set_hi", "set_lo"], "left")
+    keys = materialize(texts.mapInArrow(_keys, "doc long, hi long, lo long, words long"))
+    classes = materialize(keys.filter("words > 0").groupBy("hi", "lo").agg(F.min("doc").alias("doc"), F.first("words").alias("words")))
+    total = classes.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    log_shards = max(3, int(np.ceil(np.log2(max(1, total / shard_tokens)))))
+    bits = min(64, max(48, int(np.ceil(np.log2(max(1, total)))) + 20))
+    item_bytes = -(-bits // 8)
+
+    # one document of each class speaks for it; a false positive of the filter is a class of its own that links with its twin
+    held = ids_filter(classes.select("doc"), filter_bytes)
+    if held is None:  # too many for a filter: the ids meet the texts by a join
+        texts = texts.join(classes.select(F.col("doc").alias("_d")).distinct(), F.col("doc").eqNullSafe(F.col("_d")), "left_semi")
+        held = (6, b"\xff" * 8)
+    wanted = spark.sparkContext.broadcast(held)
+    asked = texts.mapInArrow(_requests(width, bits, log_shards, wanted, block_tokens), "shard long, block long, width int, a binary, b binary")
+    dealt = asked.repartition(max(8, 1 << log_shards >> 1), "shard").sortWithinPartitions("shard", "block")
+    replies = materialize(dealt.mapInArrow(_counted(bits, log_shards), "block long, width int, a binary, b binary, c binary"))
+    order = replies.repartition(parts_for(replies, 8 << 20), "block").sortWithinPartitions("block", "width")
+    nodes = materialize(order.mapInArrow(_placed(percent, item_bytes), _NODES))
+    release(replies)
+    wanted.destroy()
+
+    found = _Join(nodes, percent, item_bytes).links()
+    linked = None
+    if found:
+        every = found[0]
+        for more in found[1:]:
+            every = every.union(more)
+        linked = components(every)
+        named = nodes.select("node", "hi", "lo").join(linked, "node").join(classes.select("hi", "lo", "doc"), ["hi", "lo"])
+        least = named.groupBy("label").agg(F.min("doc").alias("least"))
+        named = named.join(least, "label").groupBy("hi", "lo").agg(F.min("least").alias("least"))
+    sizes = nodes.groupBy("hi", "lo").agg(F.first("n").alias("n"))
+    info = classes.select("hi", "lo", "doc").join(sizes, ["hi", "lo"])
+    info = info.join(named, ["hi", "lo"], "left") if linked is not None else info.withColumn("least", F.lit(None).cast("long"))
+    info = materialize(info.select("hi", "lo", "n", F.coalesce("least", "doc").alias("component")))
+    release(nodes, classes, *found, *([linked] if linked is not None else []))
+    out = keys.select("doc", "hi", "lo").join(info, ["hi", "lo"], "left")
     return out.select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"), "class_id",
+        F.col("doc").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), F.col("hi").alias("class_id"),
     )
