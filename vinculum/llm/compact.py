@@ -43,3 +43,41 @@ def binaries(rows: np.ndarray, counts: np.ndarray, present: np.ndarray) -> pa.Ar
     starts = ends - counts * rows.shape[1]
     data = flat.tobytes()
     return pa.array([data[a:b] if ok else None for a, b, ok in zip(starts.tolist(), ends.tolist(), present.tolist(), strict=True)], pa.binary())
+
+
+_ZSTD = "zstd"
+
+
+def ints(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, self-describing."""
+    width, data = narrow(x)
+    return bytes([width]) + data
+
+
+def from_ints(data: bytes) -> np.ndarray:
+    return widen(data[0], data[1:]).astype(np.int64)
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers, self-describing."""
+    width, data = pack_sorted(x)
+    return bytes([width]) + data
+
+
+def from_rising(data: bytes) -> np.ndarray:
+    return unpack_sorted(data[0], data[1:])
+
+
+def bundle(*parts: bytes) -> bytes:
+    """Several byte strings as one, compressed."""
+    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    raw = sizes + b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.Codec(_ZSTD, compression_level=1).compress(raw, asbytes=True)
+
+
+def unbundle(data: bytes) -> list[bytes]:
+    raw = pa.Codec(_ZSTD).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<i8", n + 1, 0)[1:]) + 8 * (n + 1)
+    starts = [8 * (n + 1), *ends.tolist()]
+    return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=False)]
