@@ -11,7 +11,7 @@ from vinculum.llm.best_fit_packing import best_fit_packing
 from vinculum.llm.language_id import language_id
 from vinculum.llm.line_dedup import line_dedup
 from vinculum.llm.lm_scoring import lm_scoring
-from vinculum.llm.mixing import mix_sources
+from vinculum.llm.mixing import mix_sources, word_count
 from vinculum.llm.nearest_neighbours import nearest_neighbours
 from vinculum.llm.ngram_join import ngram_join
 from vinculum.llm.quality_rules import quality_rules
@@ -72,7 +72,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    out = mix_sources(sized, size_col="size")
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

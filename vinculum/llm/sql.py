@@ -167,7 +167,7 @@ WITH RECURSIVE sized AS (
     (('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
     1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight
   FROM sized GROUP BY source),
 -- the sources capped so far, until no share is above its cap
@@ -187,14 +187,15 @@ level AS (
     sum(weight) FILTER (NOT list_contains(capped, coalesce('s' || source, 'null'))) AS w
   FROM sources, final GROUP BY capped),
 targets AS (
-  SELECT source, source_size, CASE WHEN list_contains(capped, coalesce('s' || source, 'null')) THEN (3 * source_size)::DOUBLE
+  SELECT source, source_size, n_docs, CASE WHEN list_contains(capped, coalesce('s' || source, 'null')) THEN (3 * source_size)::DOUBLE
     ELSE (weight * rest)::DOUBLE / w::DOUBLE END AS target FROM sources, level),
 odds AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
     CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM targets),
 ranked AS (
   SELECT d.*, o.source_size, o.target, o.whole, o.p, o.target - o.whole * o.source_size AS rest,
-    (u / (1 - u)) / (least(greatest(p, 1e-12), 1 - 1e-12) / (1 - least(greatest(p, 1e-12), 1 - 1e-12))) AS q
+    (u / (1 - u)) / (least(greatest(p, 1e-12), 1 - 1e-12) / (1 - least(greatest(p, 1e-12), 1 - 1e-12))
+      * (greatest(size, 1)::DOUBLE * n_docs::DOUBLE / greatest(source_size, 1)::DOUBLE)) AS q
   FROM sized d JOIN odds o ON d.source IS NOT DISTINCT FROM o.source),
 summed AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id::VARCHAR, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked)
