@@ -160,7 +160,7 @@ def language_id(
     learned from; a prediction sees the text alone.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if
-    nothing could be learned.  A null id counts as ''.  Repeated rows are predicted alike.
+    nothing could be learned (the result's ``_learned`` tells).  A null id counts as ''.  Repeated rows are predicted alike.
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
@@ -182,4 +182,6 @@ def language_id(
     names = [c for c, _ in pairs]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
     out = frame.mapInArrow(_predicted(spark.sparkContext.broadcast(model), names.index(text)), f"{kinds}, _lang string, _score double")
-    return restore(out.withColumn("_held", held), pairs, {"held_out": "_held", "lang_pred": "_lang", "score": "_score"})
+    out = restore(out.withColumn("_held", held), pairs, {"held_out": "_held", "lang_pred": "_lang", "score": "_score"})
+    out._learned = model is not None
+    return out

@@ -2,7 +2,8 @@
 
 Distinct vectors are dealt to shards by hash; a shard's graph is built in one task from a
 bounded number of vectors and written to the shared folder as flat neighbour arrays.  The
-queries visit every shard: an index row is read, then its queries stream past it.  Exact
+queries visit every shard; ``ef_search`` holds a recall of 0.9 on independent random vectors
+of 64 dimensions, the hardest case, at the full size of a shard: an index row is read, then its queries stream past it.  Exact
 copies share one node, which keeps the smallest ids (k + 1 of them can ever be reported).
 """
 
@@ -20,9 +21,9 @@ from vinculum.llm.hnsw import Hnsw
 _INDEX = "shard int, vectors binary, copies array<array<long>>, nodes array<binary>, links array<binary>, entry long"
 
 
-def _build(m: int, ef: int):
+def _build(m: int, ef: int, kind: str):
     def run(table: pa.Table) -> pa.Table:
-        v = np.array(table.column("v").to_pylist(), np.float32)
+        v = np.array(table.column("v").to_pylist(), kind)
         nodes, links, entry = Hnsw.build(v, m, ef).pack()
         return pa.table(
             {
@@ -45,15 +46,14 @@ def _ask(index: Hnsw, v: np.ndarray, copies: list[list[int]], own: list[int], q:
     for at in range(0, len(q), step):
         found, near = index.search(q[at : at + step], ef)
         for i, rows in enumerate(found):
-            # copies of the query's own vector may fill a node, so one more is looked at
-            rows = rows[rows < len(v)][: 2 * k + 2]
-            score = (exact[rows] * q[at + i]).sum(1)
+            rows = rows[rows < len(v)]  # all that were found: the graph's order is that of single precision
+            score = exact[rows] @ q[at + i]
             best = sorted((-s, x) for s, r in zip(score.tolist(), rows.tolist(), strict=True) for x in copies[r] if x != own[at + i])[:k]
             for s, x in best:
                 yield own[at + i], x, -s
 
 
-def _search(k: int, ef: int):
+def _search(k: int, ef: int, kind: str):
     """Rows sorted by shard, the index first, then its queries."""
 
     def run(batches):
@@ -67,12 +67,12 @@ def _search(k: int, ef: int):
                 if lo < hi and is_index[lo]:
                     row = batch.slice(lo, 1).to_pylist()[0]
                     copies = row["copies"]
-                    v = np.frombuffer(row["vectors"], np.float32).reshape(len(copies), -1)
+                    v = np.frombuffer(row["vectors"], kind).reshape(len(copies), -1)
                     index = Hnsw.unpack(v, row["nodes"], row["links"], row["entry"])
                     at += 1
                 if at >= hi or index is None:
                     continue
-                q = np.array(batch.column("q").slice(at, hi - at).to_pylist(), np.float32).astype(np.float64)
+                q = np.array(batch.column("q").slice(at, hi - at).to_pylist(), np.float64)
                 own = batch.column("query_id").slice(at, hi - at).to_pylist()
                 out = list(_ask(index, v, copies, own, q, k, ef))
                 if out:
@@ -90,10 +90,10 @@ def nearest_neighbours(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    m: int = 16,
-    ef_build: int = 96,
-    ef_search: int = 160,
-    shard_rows: int = 200_000,
+    m: int = 24,
+    ef_build: int = 128,
+    ef_search: int = 400,
+    shard_rows: int = 20_000,
     least_shards: int = 8,
 ) -> DataFrame:
     """The ``k`` nearest found ids by inner product, for the rows that ``queries`` (over ``id``) selects.
@@ -107,11 +107,14 @@ def nearest_neighbours(
     """
     spark = vectors.sparkSession
     frame, (vec, emb), _ = isolate(vectors, id_col, vector_col)
+    kind = "<f4" if frame.schema[emb].dataType.simpleString() == "array<float>" else "<f8"
+    if kind == "<f8":
+        frame = frame.withColumn(emb, F.col(emb).cast("array<double>"))
     limit = F.lit(float("inf"))
     sound = F.forall(emb, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists(emb, lambda x: x != 0)
-    rows = frame.select(F.col(vec).cast("long").alias("id"), F.col(emb).cast("array<float>").alias("v")).filter(
+    rows = frame.select(F.col(vec).cast("long").alias("id"), F.col(emb).alias("v")).filter(
         F.col("id").isNotNull() & F.coalesce(sound, F.lit(False))
-    ).filter(F.forall("v", lambda x: F.abs(x) < limit))
+    )
     by_size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
     top = by_size.agg(F.max(F.struct("n", "d"))["d"].alias("d"), F.sum("n").alias("n")).first()
     if top["d"] is None:
@@ -132,12 +135,12 @@ def nearest_neighbours(
     index = materialize(
         nodes.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "v", "ids")
         .groupBy("shard")
-        .applyInArrow(_build(m, ef_build), _INDEX)
+        .applyInArrow(_build(m, ef_build, kind), _INDEX)
     )
     asked = rows.filter(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     both = index.unionByName(asked, allowMissingColumns=True)
     order = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("vectors").isNull())
-    found = order.mapInArrow(_search(k, ef_search), "query_id long, vec_id long, score double")
+    found = order.mapInArrow(_search(k, ef_search, kind), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

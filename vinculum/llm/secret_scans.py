@@ -2,8 +2,8 @@
 
 Candidates are found by pattern in every text.  The hash of each candidate value is then
 counted over the corpus by distinct repositories and distinct owners: a value that several
-owners hold is a copied example, one that a single owner holds and that looks random is a
-live-looking credential.  Live values add a span of kind ``live`` to those of the patterns.
+owners hold, or that one owner has copied to many repositories, is a copied example; one that
+a single owner holds in few places and that looks random is a live-looking credential.  Live values add a span of kind ``live`` to those of the patterns.
 """
 
 from __future__ import annotations
@@ -78,6 +78,7 @@ def secret_scans(
     text_col: str = "text",
     owner_col: str = "source",
     max_owners: int = 1,
+    max_repositories: int = 5,
 ) -> DataFrame:
     """Spans of secrets in each text, with the corpus-wide frequency of what they hold.
 
@@ -85,7 +86,8 @@ def secret_scans(
     n_assign, n_access, n_hex (long), base_spans and spans (``kind:start:end`` by start and
     kind, comma-joined, in code points, end exclusive), and found: an array of structs
     (kind, start, finish, value_sha256, n_repositories, n_owners, status), where status is
-    ``example`` (more than ``max_owners`` owners), ``live`` or ``plain``.
+    ``example`` (more than ``max_owners`` owners or ``max_repositories`` repositories), ``live``
+    or ``plain``.
 
     Null and empty texts hold nothing.  Each row is scanned by itself; rows with equal id and
     owner are one repository; a null owner is an owner, a null id a repository.  Extra columns
@@ -112,7 +114,7 @@ def secret_scans(
     frequency = materialize(
         by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repositories"), F.count("*").alias("n_owners")).withColumnRenamed("hash", "key")
     )
-    status = F.when(F.col("n_owners") > max_owners, "example").when(F.col("mixes"), "live").otherwise("plain")
+    status = F.when((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories), "example").when(F.col("mixes"), "live").otherwise("plain")
     weighed = found.join(frequency, F.col("hash") == F.col("key")).withColumn("status", status)
     gathered = weighed.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "rank", "finish", "kind", F.col("hash").alias("value_sha256"), "n_repositories", "n_owners", "status", "size"))).alias("all")

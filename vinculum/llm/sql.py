@@ -89,9 +89,11 @@ WITH base AS ({_found(0, 'assign', _ASSIGN, 2, 12)} UNION ALL {_found(1, 'access
   UNION ALL {_found(2, 'hex', '[0-9a-f]+', 0, 16)}),
 more AS ({_found(3, 'mixed', '[A-Za-z0-9+/_-]+', 0, 24, "regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')")}),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-owned AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM every GROUP BY value),
+owned AS (
+  SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners,
+    count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, chr(0)))) AS n_repositories FROM every GROUP BY value),
 judged AS (
-  SELECT e.*, CASE WHEN n_owners > 1 THEN 'example'
+  SELECT e.*, CASE WHEN n_owners > 1 OR n_repositories > 5 THEN 'example'
     WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8
     THEN 'live' ELSE 'plain' END AS status
   FROM every e JOIN owned USING (value)),
