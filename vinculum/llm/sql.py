@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vinculum.llm.license_scans import TEMPLATES, bigrams_of
+from vinculum.llm.license_scans import TEMPLATES, bigrams_of, windows_of
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TRIM = r"trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -118,7 +118,8 @@ def _license_sql() -> str:
     rows = ",\n  ".join(
         f"('{n}', {[*bigrams_of(t)]!r})" for n, t in sorted(TEMPLATES)
     )
-    words = _LOW.format("unit")
+    words, text_words = _LOW.format("unit"), _LOW.format("text")
+    anchors = ",\n  ".join(f"('{n}', {[*bigrams_of(t)]!r}, '{g}', {at}, {size})" for n, t in sorted(TEMPLATES) for g, at, size in windows_of(t))
     return f"""
 WITH templates(license, grams) AS (VALUES
   {rows}),
@@ -135,12 +136,24 @@ matched AS (
   SELECT doc_id, line, min(license) AS license, any_value(top) AS dice FROM (
     SELECT *, max(dice) OVER (PARTITION BY doc_id, line) AS top FROM dice) WHERE dice = top AND dice >= 0.8
   GROUP BY doc_id, line),
+anchors(license, grams, gram, off, n) AS (VALUES
+  {anchors}),
+whole AS (SELECT doc_id, string_split(trim(regexp_replace({text_words}, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE text <> ''),
+placed AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM whole),
+around AS (
+  SELECT doc_id, license, grams, w[greatest(i - off, 1):greatest(i - off, 1) + n - 1] AS v
+  FROM placed JOIN anchors ON w[i] || ' ' || w[i + 1] = gram),
+compared AS (SELECT doc_id, license, grams, list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS own FROM around),
+windows AS (
+  SELECT doc_id, license, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM compared
+  WHERE 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) >= 0.8),
+every AS (SELECT doc_id, license, dice, 1 AS unit FROM matched UNION ALL SELECT doc_id, license, dice, 0 FROM windows),
 best AS (
-  SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+  SELECT doc_id, sum(unit)::BIGINT AS n_matches, count(*) - sum(unit)::BIGINT AS n_windows, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
     first(license ORDER BY dice DESC, license) AS best_license, max(dice) AS best_dice
-  FROM matched GROUP BY doc_id),
+  FROM every GROUP BY doc_id),
 counted AS (SELECT doc_id, count(*) AS n_units FROM units GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses,
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_matches, 0) AS n_matches, coalesce(n_windows, 0) AS n_windows, coalesce(licenses, '') AS licenses,
   best_license, round(coalesce(best_dice, 0), 9)::DOUBLE AS best_dice
 FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN best USING (doc_id)
 """
