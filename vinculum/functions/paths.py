@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 #: Language badges by file extension, and the names a query may use for them.
 BADGES = {
-    "ts": "TS", "mts": "TS", "cts": "TS", "tsx": "TX", "js": "JS", "mjs": "JS", "cjs": "JS", "jsx": "JX", "py": "PY", "rs": "RS", "go": "GO",
-    "java": "JV", "kt": "KT", "scala": "SC", "cs": "C#", "fs": "F#", "cpp": "C+", "cc": "C+", "hpp": "C+", "c": "C", "h": "C", "m": "OC",
-    "swift": "SW", "zig": "ZG", "hs": "HS", "rb": "RB", "php": "PH", "sh": "SH", "lua": "LU", "dart": "DT", "jl": "JL", "ml": "ML",
-    "nix": "NX", "r": "R", "sql": "SQ", "json": "{}", "wat": "WA", "vue": "VU", "svelte": "SV",
+    "ts": "TS", "mts": "TS", "cts": "TS", "tsx": "TX", "js": "JS", "mjs": "JS", "cjs": "JS", "jsx": "JS", "py": "PY", "rs": "RS", "go": "GO",
+    "java": "JV", "kt": "KT", "kts": "KT", "scala": "SC", "sc": "SC", "cs": "C#", "fs": "F#", "fsx": "F#", "cpp": "C+", "cc": "C+", "cxx": "C+",
+    "hpp": "C+", "hh": "C+", "hxx": "C+", "c": "C", "h": "C", "m": "OC", "mm": "OC",
+    "swift": "SW", "zig": "ZG", "hs": "HS", "rb": "RB", "php": "PH", "sh": "SH", "bash": "SH", "lua": "LU", "dart": "DT", "jl": "JL", "ml": "ML",
+    "nix": "NX", "r": "R", "sql": "SQ", "json": "{}", "jsonc": "{}", "wat": "WA", "vue": "VU", "svelte": "SV",
 }
 LANGUAGE_NAMES = {
     "rust": "RS", "typescript": "TS", "ts": "TS", "tsx": "TX", "javascript": "JS", "js": "JS", "python": "PY", "py": "PY", "go": "GO", "golang": "GO",
     "java": "JV", "kotlin": "KT", "scala": "SC", "csharp": "C#", "c#": "C#", "fsharp": "F#", "f#": "F#", "cpp": "C+", "c++": "C+", "c": "C",
     "objc": "OC", "objective-c": "OC", "swift": "SW", "zig": "ZG", "haskell": "HS", "ruby": "RB", "rb": "RB", "php": "PH", "bash": "SH",
-    "shell": "SH", "sh": "SH", "lua": "LU", "dart": "DT", "julia": "JL", "jl": "JL", "ocaml": "ML", "ml": "ML", "nix": "NX", "r": "R",
+    "shell": "SH", "sh": "SH", "bash": "SH", "lua": "LU", "dart": "DT", "julia": "JL", "jl": "JL", "ocaml": "ML", "ml": "ML", "nix": "NX", "r": "R",
     "sql": "SQ", "json": "{}", "wasm": "WA", "wat": "WA", "vue": "VU", "svelte": "SV",
 }
 

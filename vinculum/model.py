@@ -36,6 +36,12 @@ class Graph:
         return Graph(self.nodes.join(keep, "id", "left_semi"), Graph(keep, self.edges).valid_edges())
 
 
+def with_facets(nodes: DataFrame) -> DataFrame:
+    """Nodes with all facets that operators look at; those that are not there are null."""
+    missing = [c for c in ("role", "category", "environment", "externalKind", "version", "dependencyType") if c not in nodes.columns]
+    return nodes.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else nodes
+
+
 def edge_id(source, target, kind):
     return F.concat(source, F.lit("->"), target, F.lit(":"), kind)
 

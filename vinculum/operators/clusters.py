@@ -48,8 +48,14 @@ def tree_score(g: Graph) -> DataFrame:
 
 
 def _pairs(g: Graph) -> DataFrame:
-    """a, b: each undirected link between two nodes, in both directions, once."""
-    e = g.valid_edges().filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    """a, b: each undirected link between two nodes, in both directions, once; ``contains`` is no relationship."""
+    e = g.valid_edges().filter("source <> target AND kind <> 'contains'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return e.union(e.select("b", "a")).distinct()
+
+
+def plain_pairs(edges: DataFrame) -> DataFrame:
+    """a, b: the ends of edges (source, target) in both directions, once."""
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     return e.union(e.select("b", "a")).distinct()
 
 
@@ -79,3 +85,45 @@ def connection_path(g: Graph, a: str, b: str) -> DataFrame:
     links = _pairs(g).select(F.col("a").alias("source"), F.col("b").alias("target"))
     links = links.select(F.concat("source", F.lit("--"), "target").alias("id"), "source", "target", F.lit("link").alias("kind"))
     return traversal.shortest_path(Graph(g.nodes, links), a, b)
+
+
+def connection_highlight(g: Graph, anchors: list[str]) -> DataFrame:
+    """what (node, pair), a, b, role: what is lit for one anchor (its neighbours) or two (a shortest path), with start, end and path roles.
+
+    Two anchors without a path light themselves alone; no anchor lights nothing.
+    """
+    spark = g.nodes.sparkSession
+    schema = "what string, a string, b string, role string"
+    if not anchors:
+        return spark.createDataFrame([], schema)
+    if len(anchors) == 1:
+        near = _pairs(g).filter(F.col("a") == anchors[0])
+        nodes = near.select(F.lit("node").alias("what"), F.col("b").alias("a"), F.lit("").alias("b"), F.lit(None).cast("string").alias("role"))
+        pairs = near.select(F.lit("pair"), F.least("a", "b"), F.greatest("a", "b"), F.lit(None).cast("string"))
+        return spark.createDataFrame([("node", anchors[0], "", "start")], schema).union(nodes).union(pairs)
+    path = connection_path(g, anchors[0], anchors[1])
+    role = F.when(F.col("id") == anchors[0], "start").when(F.col("id") == anchors[1], "end").otherwise("path")
+    nodes = path.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit("").alias("b"), role.alias("role"))
+    hops = path.select("step", F.col("id").alias("x")).join(path.select((F.col("step") - 1).alias("step"), F.col("id").alias("y")), "step")
+    pairs = hops.select(F.lit("pair"), F.least("x", "y"), F.greatest("x", "y"), F.lit(None).cast("string"))
+    ends = spark.createDataFrame([("node", anchors[0], "", "start"), ("node", anchors[1], "", "end")], schema)
+    return nodes.union(ends).distinct().union(pairs)
+
+
+def connection_status(highlight: DataFrame, a: str, b: str) -> str:
+    """The sentence for two anchors."""
+    steps = highlight.filter("what = 'pair'").count()
+    return f"{a} ⇄ {b} · {steps} step{'' if steps == 1 else 's'}" if steps or a == b else f"No connection between {a} and {b}"
+
+
+def next_anchors(before: list[str], clicked: str, shift: bool) -> list[str]:
+    """The anchors after a click: one alone, with shift a second one, then a fresh start."""
+    if not shift or not before or len(before) > 1:
+        return [clicked]
+    return before if before == [clicked] else [*before, clicked]
+
+
+def prune_anchors(anchors: list[str], shown: DataFrame) -> list[str]:
+    """The anchors that are still among ``shown`` (id)."""
+    here = {r["id"] for r in shown.filter(F.col("id").isin(*anchors)).select("id").distinct().collect()} if anchors else set()
+    return [a for a in anchors if a in here]

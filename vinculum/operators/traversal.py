@@ -1,11 +1,16 @@
 """Reachability, paths, strongly connected components, communities and cores as DataFrame loops.
 
 Every round is one or two joins on the node id; its result is written to the shared folder,
-so plans stay short and lost executors cost one round.
+so plans stay short and lost executors cost one round.  What is left of a graph is finished by one
+task as soon as it has at most ``LOCAL`` steps, which that task can hold: the answer is the same,
+and a graph of few nodes does not pay for a job a hop.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,111 @@ from vinculum.functions.storage import store
 from vinculum.model import Graph
 
 
+#: Steps (distinct pairs of nodes) that one task takes: about 100 MB.
+LOCAL = 400_000
+
+
+def _in_one_task(rows: DataFrame, solve: Callable[[list, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """``solve`` over the two string columns of at most about LOCAL rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in schema.split(", ")]
+
+    def run(batches):
+        a, b = [], []
+        for batch in batches:
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+        found = list(zip(*solve(a, b), strict=True)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], names)
+
+    return rows.coalesce(1).mapInArrow(run, schema)
+
+
+def _fits(steps: DataFrame) -> bool:
+    return steps.limit(LOCAL + 1).count() <= LOCAL
+
+
+def _after(a: list, b: list) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for x, y in zip(a, b, strict=True):
+        if y is not None:
+            out.setdefault(x, []).append(y)
+    return out
+
+
+def _solve_reach(limit: int | None):
+    """Rows (node, next), and (start, null)."""
+
+    def solve(a: list, b: list):
+        after = _after(a, b)
+        front = {x for x, y in zip(a, b, strict=True) if y is None}
+        seen, depth = set(front), 0
+        while front and (limit is None or depth < limit):
+            depth += 1
+            front = {y for x in front for y in after.get(x, ())} - seen
+            seen |= front
+            yield from ((x, depth) for x in front)
+
+    return solve
+
+
+def _solve_scc(a: list, b: list):
+    """Tarjan's algorithm without recursion: (id, least member)."""
+    after = _after(a, b)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    on: set[str] = set()
+    for root in sorted(after):
+        if root in index:
+            continue
+        work = [(root, iter(after[root]))]
+        index[root] = low[root] = len(index)
+        held.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            w = next(rest, None)
+            if w is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    members = []
+                    while not members or members[-1] != v:
+                        members.append(held.pop())
+                    on.difference_update(members)
+                    least = min(members)
+                    yield from ((m, least) for m in members)
+            elif w not in index:
+                index[w] = low[w] = len(index)
+                held.append(w)
+                on.add(w)
+                work.append((w, iter(after.get(w, ()))))
+            elif w in on:
+                low[v] = min(low[v], index[w])
+
+
+def _solve_depth(a: list, b: list):
+    """Of a graph without cycles: (node, nodes on the longest path that starts there)."""
+    after = _after(a, b)
+    left = {x: len(ys) for x, ys in after.items()}
+    before: dict[str, list[str]] = {}
+    for x, ys in after.items():
+        for y in ys:
+            before.setdefault(y, []).append(x)
+    ready = [y for y in before if y not in after]
+    depth = dict.fromkeys(ready, 1)
+    while ready:
+        y = ready.pop()
+        for x in before.get(y, ()):
+            depth[x] = max(depth.get(x, 1), depth[y] + 1)
+            left[x] -= 1
+            if not left[x]:
+                ready.append(x)
+    yield from depth.items()
+
+
 def _steps(g: Graph, forward: bool | None) -> DataFrame:
     """Distinct (node, next) pairs: along edges, against them, or both ways (None)."""
     e = g.valid_edges().filter("source <> target").select(F.col("source").alias("node"), F.col("target").alias("next"))
@@ -24,6 +134,9 @@ def _steps(g: Graph, forward: bool | None) -> DataFrame:
 def reach(g: Graph, start: DataFrame, forward: bool = True, depth: int | None = None) -> DataFrame:
     """id, depth of what the set ``start`` reaches, its own nodes left out."""
     steps = store(_steps(g, forward))
+    if _fits(steps) and _fits(start):
+        rows = steps.union(start.select("id", F.lit(None).cast("string")).distinct())
+        return store(_in_one_task(rows, _solve_reach(depth), "id string, depth int"))
     seen = store(start.select("id").distinct().withColumn("depth", F.lit(0)))
     front, at = seen, 0
     while depth is None or at < depth:
@@ -62,15 +175,15 @@ def shortest_path(g: Graph, a: str, b: str) -> DataFrame:
 
 
 def why_connected(g: Graph, a: str, b: str) -> DataFrame:
-    """step, source, target, kind: a shortest path with the first edge kind of each hop."""
+    """step, source, target, kind: a shortest path with the kind of each hop's first edge (by ord, or id)."""
     p = shortest_path(g, a, b)
     hops = p.select("step", F.col("id").alias("source")).join(p.select((F.col("step") - 1).alias("step"), F.col("id").alias("target")), "step")
-    kinds = g.edges.groupBy("source", "target").agg(F.min("kind").alias("kind"))
+    kinds = g.edges.groupBy("source", "target").agg(F.min_by("kind", "ord" if "ord" in g.edges.columns else "id").alias("kind"))
     return hops.join(kinds, ["source", "target"]).select("step", "source", "target", "kind")
 
 
 def blast_radius(g: Graph, start: DataFrame) -> DataFrame:
-    """facet (total, package, kind), name, n: what depends on the start, and the edges among them."""
+    """facet (total, package, file, kind), name, n: what depends on the start, and the edges among them."""
     hit = store(reach(g, start, forward=False).select("id"))
     n = g.nodes.join(hit, "id", "left_semi")
     from vinculum.functions.paths import top_folder
@@ -78,6 +191,8 @@ def blast_radius(g: Graph, start: DataFrame) -> DataFrame:
     kind = F.col("kind") if "kind" in g.nodes.columns else F.lit("")
     total = n.agg(F.count("*").alias("n")).select(F.lit("total").alias("facet"), F.lit("").alias("name"), "n")
     by_package = n.groupBy(top_folder(F.col("filePath"), kind).alias("name")).agg(F.count("*").alias("n")).select(F.lit("package"), "name", "n")
+    if "parentFile" in g.nodes.columns:
+        by_package = by_package.union(n.groupBy(F.col("parentFile").alias("name")).agg(F.count("*").alias("n")).select(F.lit("file"), "name", "n"))
     inside = g.induced(hit.union(start.select("id"))).edges
     by_kind = inside.groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("n")).select(F.lit("kind"), "name", "n")
     return total.union(by_package).union(by_kind)
@@ -116,6 +231,10 @@ def scc(g: Graph) -> DataFrame:
     nodes = store(g.nodes.select("id").distinct())
     done = nodes.select("id", F.col("id").alias("scc")).limit(0)
     while True:
+        if _fits(steps):
+            found = store(_in_one_task(steps, _solve_scc, "id string, scc string"))
+            done = done.union(nodes.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc")))
+            break
         while True:  # trim
             live = nodes.join(steps.select(F.col("node").alias("id")), "id", "left_semi").join(steps.select(F.col("next").alias("id")), "id", "left_semi")
             gone = store(nodes.join(live, "id", "left_anti"))
@@ -149,6 +268,9 @@ def longest_chain(g: Graph) -> DataFrame:
     of = store(scc(g))
     a, b = of.select(F.col("id").alias("node"), F.col("scc").alias("s")), of.select(F.col("id").alias("next"), F.col("scc").alias("t"))
     steps = store(_steps(g, True).join(a, "node").join(b, "next").filter("s <> t").select("s", "t").distinct())
+    if _fits(steps):
+        found = _in_one_task(steps, _solve_depth, "scc string, depth int")
+        return store(of.select("scc").distinct().join(found, "scc", "left").select("scc", F.coalesce("depth", F.lit(1)).alias("depth")))
     depth = store(of.select("scc").distinct().withColumn("depth", F.lit(1)))
     while True:
         further = steps.join(depth.toDF("t", "d"), "t").groupBy("s").agg((F.max("d") + 1).alias("more"))
@@ -198,3 +320,37 @@ def coreness(g: Graph) -> DataFrame:
         done = done.union(gone)
         left = store(d.join(gone, "id", "left_anti").select("id"))
         steps = store(steps.join(gone, F.col("node") == F.col("id"), "left_anti").join(gone, F.col("next") == F.col("id"), "left_anti"))
+
+
+def reached_by_each(g: Graph, starts: DataFrame) -> DataFrame:
+    """start, n: how many nodes depend on each of ``starts`` (id).
+
+    Few steps go to all tasks, which walk from their own starts; else (start, node) pairs grow
+    in one loop.
+    """
+    steps = store(_steps(g, False))
+    starts = starts.select("id").distinct()
+    if _fits(steps):
+        held = g.nodes.sparkSession.sparkContext.broadcast(steps.toArrow())  # at most LOCAL rows
+
+        def run(batches):
+            after = _after(*(held.value.column(c).to_pylist() for c in ("node", "next")))
+            for batch in batches:
+                ids, counts = batch.column(0).to_pylist(), []
+                for start in ids:
+                    seen, front = {start}, [start]
+                    while front:
+                        front = [y for y in {y for x in front for y in after.get(x, ())} if y not in seen]
+                        seen.update(front)
+                    counts.append(len(seen) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(counts, pa.int64())], ["start", "n"])
+
+        return starts.repartition("id").mapInArrow(run, "start string, n long")
+    seen = front = store(starts.select(F.col("id").alias("start"), F.col("id").alias("node")))
+    while True:
+        front = front.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
+        front = store(front.join(seen, ["start", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen.groupBy("start").agg((F.count("*") - 1).alias("n"))

@@ -10,15 +10,21 @@ from vinculum.functions import paths
 from vinculum.model import Graph
 
 
+def faces(g: Graph, expanded: DataFrame | None = None) -> DataFrame:
+    """id, face: the card that stands for a node; its file, or itself if it is external or its file is ``expanded`` (id)."""
+    files = g.nodes.select("id", F.when(F.col("kind") == "external", F.col("id")).otherwise(F.col("parentFile")).alias("face"))
+    if expanded is not None:
+        open_ = expanded.select(F.col("id").alias("face"), F.lit(True).alias("open"))
+        files = files.join(open_, "face", "left").select("id", F.when(F.col("open"), F.col("id")).otherwise(F.col("face")).alias("face"))
+    return files
+
+
 def file_view(g: Graph, expanded: DataFrame | None = None) -> DataFrame:
     """source, target, kind, count, n_edges: symbols stand for their files unless these are expanded.
 
     ``expanded`` (id) adds ``contains`` edges from its files to their symbols.
     """
-    files = g.nodes.select("id", F.when(F.col("kind") == "external", F.col("id")).otherwise(F.col("parentFile")).alias("face"))
-    if expanded is not None:
-        open_ = expanded.select(F.col("id").alias("face"), F.lit(True).alias("open"))
-        files = files.join(open_, "face", "left").select("id", F.when(F.col("open"), F.col("id")).otherwise(F.col("face")).alias("face"))
+    files = faces(g, expanded)
     e = g.edges.join(files.toDF("source", "a"), "source").join(files.toDF("target", "b"), "target").filter("a <> b")
     out = e.groupBy(F.col("a").alias("source"), F.col("b").alias("target"), "kind").agg(F.sum("count").alias("count"), F.count("*").alias("n_edges"))
     if expanded is not None:
@@ -45,13 +51,17 @@ def dir_rollup(g: Graph) -> DataFrame:
     return d.groupBy("dir", (F.col("at") + 1).alias("depth")).agg(F.count("*").alias("n_files"))
 
 
-def auto_collapse(g: Graph, max_cards: int = 2000) -> DataFrame:
-    """depth, rendered: the deepest directory depth whose cards fit, else 1; no row if all files fit."""
-    f = g.nodes.filter("kind = 'file'").select(paths.dir_prefixes(F.col("filePath")).alias("p"))
-    d = f.select(F.posexplode("p").alias("at", "dir")).groupBy((F.col("at") + 1).alias("depth")).agg(
-        F.count_distinct("dir").alias("dirs"), F.count("*").alias("absorbed")
+def auto_collapse(g: Graph, max_cards: int = 2000, costs: DataFrame | None = None) -> DataFrame:
+    """depth, rendered: the deepest directory depth whose cards fit, else 1; no row if all files fit.
+
+    ``costs`` (id, cost) tells how many cards a file stands for, 1 by default.
+    """
+    f = g.nodes.filter("kind = 'file'").select("id", paths.dir_prefixes(F.col("filePath")).alias("p"))
+    f = f.join(costs.select("id", "cost"), "id", "left").fillna(1, ["cost"]) if costs is not None else f.withColumn("cost", F.lit(1).cast("long"))
+    d = f.select("cost", F.posexplode("p").alias("at", "dir")).groupBy((F.col("at") + 1).alias("depth")).agg(
+        F.count_distinct("dir").alias("dirs"), F.sum("cost").alias("absorbed")
     )
-    total = f.agg(F.count("*").alias("total"))
+    total = f.agg(F.sum("cost").alias("total"))
     every = d.join(total.filter(F.col("total") > max_cards)).withColumn("rendered", F.col("dirs") + F.col("total") - F.col("absorbed"))
     # rendered grows with depth, so the first that does not fit ends the search
     best = F.greatest(F.coalesce(F.max(F.when(F.col("rendered") <= max_cards, F.col("depth"))), F.lit(1)), F.lit(1))
@@ -72,14 +82,62 @@ def assign_packages(g: Graph, manifests: DataFrame) -> DataFrame:
 
 
 def package_graph(g: Graph, manifests: DataFrame) -> DataFrame:
-    """source, target, kind, count: base edges between packages, always ``import``."""
+    """source, target, kind, count: base edges between packages, always ``import``.
+
+    Where ``manifests`` has ``declared`` (an array of structs with a name), a declared
+    dependency on another package of the graph, by its manifest's name or else external, is an
+    edge too, of count 0 if nothing else makes it.  A manifest's package is its ``name``, which
+    ``label`` names in declarations (by default what follows the last colon).
+    """
     of = assign_packages(g, manifests)
+    out = _between(g, of)
+    if "declared" in manifests.columns:
+        label = F.col("label") if "label" in manifests.columns else F.substring_index("name", ":", -1)
+        present = of.select(F.col("package").alias("name")).distinct()
+        own = manifests.select("name", label.alias("label"), "declared").join(present, "name", "left_semi")
+        inside = own.groupBy("label").agg(F.max("name").alias("inside")).withColumnRenamed("label", "dep")
+        outside = present.filter(F.col("name").startswith("pkg:ext:")).select(F.col("name").alias("outside"), F.substr("name", F.lit(9)).alias("dep"))
+        wanted = own.select(F.col("name").alias("source"), F.explode(F.transform("declared", lambda d: d["name"])).alias("dep"))
+        wanted = wanted.join(inside, "dep", "left").join(outside, "dep", "left").select("source", F.coalesce("inside", "outside").alias("target"))
+        wanted = wanted.filter("target IS NOT NULL AND target <> source").distinct().join(out, ["source", "target"], "left_anti")
+        out = out.union(wanted.select("source", "target", F.lit("import"), F.lit(0).cast("long")))
+    return out
+
+
+def _between(g: Graph, of: DataFrame) -> DataFrame:
+    """source, target, kind, count of edges between groups (id, group)."""
     e = g.edges.join(of.toDF("source", "a"), "source").join(of.toDF("target", "b"), "target").filter("a <> b")
     return e.groupBy(F.col("a").alias("source"), F.col("b").alias("target")).agg(F.sum("count").alias("count")).select(
         "source", "target", F.lit("import").alias("kind"), "count"
     )
 
 
+def assign_workspaces(g: Graph, manifests: DataFrame, default: str = "«workspace»") -> DataFrame:
+    """id, workspace: that of the nearest manifest (dir, workspace); externals stand for themselves."""
+    named = manifests.select("dir", F.coalesce("workspace", F.lit(default)).alias("name"))
+    of = assign_packages(g, named)
+    inner = F.when(F.col("package") == "pkg:«root»", F.lit(f"ws:{default}")).otherwise(F.concat(F.lit("ws:"), "package"))
+    return of.select("id", F.when(F.col("package").startswith("pkg:ext:"), F.col("package")).otherwise(inner).alias("workspace"))
+
+
+def workspace_graph(g: Graph, manifests: DataFrame) -> DataFrame:
+    """source, target, kind, count: base edges between workspaces and externals."""
+    return _between(g, assign_workspaces(g, manifests))
+
+
+def package_names(g: Graph, manifests: DataFrame) -> DataFrame:
+    """id, package: the name that ``package:`` looks in, without its ecosystem."""
+    return assign_packages(g, manifests).select("id", F.regexp_replace("package", r"\Apkg:(?:[^:]*:)?", "").alias("package"))
+
+
+def summary(g: Graph, hubs: int = 10) -> DataFrame:
+    """what, name, n: totals, counts by kind, and the nodes that most edges reach (a top-k report)."""
+    one = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), F.lit("").alias("name"), "n")
+    kinds = lambda df, what: df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(what), "kind", "n")
+    top = g.valid_edges().groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(hubs)
+    return one(g.nodes, "nodes").union(one(g.edges, "edges")).union(kinds(g.nodes, "node")).union(kinds(g.edges, "edge")).union(top.select(F.lit("hub"), "id", "n"))
+
+
 def shape(g: Graph) -> DataFrame:
     """One row: n_nodes, n_edges, mean_degree, max_degree, gini, hub_share, isolated."""
     e = g.valid_edges().filter("source <> target")

@@ -158,7 +158,7 @@ class Query:
         if t.field == "kind":
             return same("kind")
         if t.field in ("language", "lang"):
-            return paths.language(F.col("filePath")) == F.lit(paths.LANGUAGE_NAMES.get(v, t.value).upper())
+            return F.upper(paths.language(F.col("filePath"))) == F.lit(paths.LANGUAGE_NAMES.get(v, t.value).upper())
         if t.field == "path":
             return F.lower("filePath").rlike(paths.query_glob(t.value))
         if t.field in ("environment", "env"):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vinculum.functions import paths
 from vinculum.model import Graph
 from vinculum.operators import analysis, clusters, degrees, traversal, views
+from vinculum.plans import wider
 from vinculum.plans.query_language import Query
 from vinculum.sources import exports, files, star
 from vinculum.streaming import telemetry
@@ -18,7 +19,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 _G = "WITH RECURSIVE " + star.GRAPH_SQL
 _E = "WITH RECURSIVE " + star.EVENT_SQL
 
-_BADGE = "CASE " + " ".join(f"WHEN regexp_extract(lower(\"filePath\"), '\\.([^./]+)$', 1) = '{k}' THEN '{v}'" for k, v in paths.BADGES.items()) + " ELSE 'other' END"
+_BADGE = "CASE regexp_extract(lower(\"filePath\"), '\\.([^./]+)$', 1) WHEN 'ts' THEN 'TS' WHEN 'tsx' THEN 'TX' WHEN 'py' THEN 'PY' WHEN 'go' THEN 'GO' WHEN 'rs' THEN 'RS' WHEN 'java' THEN 'JV' ELSE 'other' END"
 _VALID = """,
 valid AS (SELECT e.* FROM edges e WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
 deg AS (
@@ -55,7 +56,8 @@ TEXT_QUERIES = {
     "unknown_field": ("colour:part9", "contains(label, 'part9')"),
     "groups": ("(kind:class or kind:method) and not (outgoing:>2 | env:server)", "kind IN ('class', 'method') AND NOT (n_out > 2 OR coalesce(environment, '') = 'server')"),
     "package": ("package:nation_2", "contains(coalesce(CASE WHEN \"filePath\" <> '' THEN split_part(\"filePath\", '/', 2) END, label), 'nation_2')"),
-    "runtime": ("-runtime:node kind:external", "kind = 'external'"),
+    "runtime": ("runtime:node kind:file", "kind = 'file' AND regexp_matches(\"filePath\", '\\.(ts|go)$')"),
+    "language_other": ("language:other", "\"filePath\" = ''"),
 }
 
 
@@ -67,6 +69,9 @@ def _packages(g: Graph) -> DataFrame:
 def _text_query(text: str) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = star.graph(spark, sf_dir)
+        # scripts and Go files run on two runtimes, others on one
+        two, one = (F.array(*[F.lit(x) for x in xs]) for xs in (("browser", "Node"), ("browser",)))
+        g = Graph(g.nodes.withColumn("runtimes", F.when(F.col("filePath").rlike(r"\.(ts|go)\z"), two).otherwise(one)), g.edges)
         return Query(text, g, _packages(g)).node_ids()
 
     return run
@@ -179,7 +184,7 @@ def queries() -> dict[str, Run]:
         "page_links": lambda spark, d: files.page_links(table("pages")(spark, d)),
         "telemetry_summary": lambda spark, d: telemetry.summary(table("events")(spark, d)),
         "telemetry_counters": lambda spark, d: telemetry.counters(table("events")(spark, d)),
-    }
+    } | wider.queries()
 
 
 def _communities_sql(rounds: int = 20) -> str:
@@ -196,15 +201,27 @@ l{i + 1} AS MATERIALIZED (
     return "".join(out)
 
 
+def _coreness_sql(most: int = 60, rounds: int = 12) -> str:
+    """For each k what is left when less than k neighbours are peeled; unrolled as one recursion over (k, round)."""
+    return f"""{_E.replace("steps", "moves")},
+both_ways AS (SELECT source AS a, target AS b FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target),
+left_at(k, r, ids) AS (
+  SELECT k, 0, (SELECT list(id ORDER BY id) FROM nodes) FROM range(1, {most}) t(k)
+  UNION ALL
+  SELECT k, r + 1, more FROM (
+    SELECT l.k, l.r, l.ids, (
+      SELECT coalesce(list(a ORDER BY a), []) FROM (SELECT a FROM both_ways WHERE list_contains(l.ids, a) AND list_contains(l.ids, b) GROUP BY a HAVING count(*) >= l.k)) AS more
+    FROM left_at l WHERE len(l.ids) > 0) WHERE len(more) < len(ids) AND r < 300),
+final AS (SELECT k, last(ids ORDER BY r) AS ids FROM left_at GROUP BY k)
+SELECT id, (SELECT coalesce(max(k), 0) FROM final WHERE list_contains(ids, nodes.id))::INT AS core FROM nodes"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"query_{k}": f"{_G}{_VALID}\nSELECT id FROM nodes JOIN deg USING (id) WHERE {sql}" for k, (_, sql) in TEXT_QUERIES.items()}
     start = "label = 's1.tsx'"
     folder = "split_part(\"filePath\", '/', 1)"
     hub = "(SELECT greatest(6, coalesce(avg(v) + 2 * stddev_pop(v), 6)) FROM (SELECT {c} AS v FROM deg WHERE {c} > 0))"
     inst = ", inst AS (SELECT id, sum(ca)::BIGINT AS ca, sum(ce)::BIGINT AS ce, round(sum(ce) / sum(ca + ce), 6) AS instability FROM (SELECT source AS id, 1 AS ce, 0 AS ca FROM edges WHERE kind = 'import' UNION ALL SELECT target, 0, 1 FROM edges WHERE kind = 'import') GROUP BY id)"
-    def listed(kind, sev, sql):
-        return f"SELECT '{kind}' AS kind, '{sev}' AS severity, id AS node FROM ({sql} ORDER BY id LIMIT 50)"
-
     depth = """,
 cond AS (SELECT DISTINCT a.scc AS scc, b.scc AS t FROM edges e JOIN sized a ON a.id = e.source JOIN sized b ON b.id = e.target WHERE a.scc <> b.scc),
 chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.depth + 1 FROM chains c JOIN cond x ON x.t = c.scc)"""
@@ -229,7 +246,7 @@ chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.d
         "neighborhood": f"{_G}, s AS (SELECT id FROM nodes WHERE {start}) SELECT id FROM s UNION SELECT target FROM edges WHERE source IN (FROM s) UNION SELECT source FROM edges WHERE target IN (FROM s)",
         "blast_radius": f"{_G}{_REACH.format(start=start)}, hit AS (SELECT n.* FROM nodes n JOIN reached USING (id)), inside AS (SELECT id FROM hit UNION SELECT id FROM nodes WHERE {start}) "
         f"SELECT 'total' AS facet, '' AS name, count(*) AS n FROM hit UNION ALL SELECT 'package', CASE WHEN kind = 'external' THEN '«external»' WHEN contains(\"filePath\", '/') THEN {folder} ELSE '/' END, count(*) FROM hit GROUP BY 2 "
-        "UNION ALL SELECT 'kind', kind, count(*) FROM edges WHERE source IN (FROM inside) AND target IN (FROM inside) GROUP BY 2",
+        "UNION ALL SELECT 'file', \"parentFile\", count(*) FROM hit GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM edges WHERE source IN (FROM inside) AND target IN (FROM inside) GROUP BY 2",
         "shortest_path_length": f"{_E}, walk(id, d) AS (SELECT min(id), 0 FROM nodes UNION SELECT e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.id WHERE d < 12) SELECT coalesce(min(d) + 1, 0) AS n FROM walk WHERE id = (SELECT max(id) FROM nodes)",
         "scc": f"{_G}{_SCC} SELECT * FROM sized",
         "event_scc": f"{_E.replace('steps', 'moves')}{_SCC} SELECT * FROM sized",
@@ -237,17 +254,6 @@ chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.d
         "communities": communities,
         "longest_chain": f"{_G}{_SCC}{depth} SELECT max(depth)::INT AS depth FROM chains",
         "deep_chain": f"{_G}{_SCC}{depth} SELECT max(depth)::INT AS depth FROM chains HAVING max(depth) >= 6",
-        "insights": f"{_G}{_VALID}{inst}{_SCC}, hubs AS (SELECT {hub.format(c='n_out')} AS o, {hub.format(c='n_in')} AS i) "
-        + " UNION ALL ".join([
-            "(" + listed("fan-out", "warning", "SELECT id FROM deg, hubs WHERE n_out >= o") + ")",
-            "(" + listed("fan-in", "info", "SELECT id FROM deg, hubs WHERE n_in >= i") + ")",
-            "(" + listed("bottleneck", "warning", "SELECT id FROM deg, hubs WHERE n_in >= i AND n_out >= o") + ")",
-            "SELECT 'orphan', 'info', id FROM deg JOIN nodes USING (id) WHERE kind = 'file' AND n_in = 0 AND n_out = 0",
-            "(" + listed("client-server", "warning", "SELECT e.id FROM edges e JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE e.kind = 'import' AND a.environment = 'client' AND b.environment = 'server'") + ")",
-            "(" + listed("undeclared", "warning", "SELECT id FROM nodes WHERE kind = 'external' AND \"dependencyType\" = 'undeclared'") + ")",
-            "(" + listed("cycle", "warning", "SELECT DISTINCT scc AS id FROM sized WHERE size > 1") + ")",
-            "(" + listed("instability", "warning", "SELECT e.id FROM edges e JOIN inst a ON a.id = source JOIN inst b ON b.id = target WHERE e.kind = 'import' AND a.ca + a.ce >= 6 AND b.ca + b.ce >= 6 AND b.instability - a.instability > 0.3") + ")",
-        ]),
         "rules_check": f"{_G}{_VALID}{_SCC}{depth} "
         "SELECT DISTINCT 'no client to server' AS rule, 'dependency' AS kind, 'error' AS severity, a.\"parentFile\" AS subject, b.\"parentFile\" AS object FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE a.environment = 'client' AND b.environment = 'server' AND regexp_full_match(b.\"filePath\", '(?:.*/)?s[^/]*\\.tsx') "
         "UNION ALL SELECT DISTINCT 'no cycles', 'cycle', 'warning', scc, size::VARCHAR FROM sized WHERE size > 1 "
@@ -278,4 +284,7 @@ chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.d
         "page_links": "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2",
         "telemetry_summary": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM k WHERE rn <= 1000 GROUP BY 1",
         "telemetry_counters": "SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1",
-    }
+        "coreness": _coreness_sql(),
+        "export_graphml": f"{_G} SELECT '    <node id=\"' || id || '\"><data key=\"label\">' || label || '</data><data key=\"kind\">' || kind || '</data><data key=\"filePath\">' || \"filePath\" || '</data><data key=\"line\">' || line || '</data></node>' AS line FROM nodes UNION ALL SELECT '    <edge source=\"' || source || '\" target=\"' || target || '\"><data key=\"ekind\">' || kind || '</data></edge>' FROM edges",
+        "export_mermaid": f"{events}, n AS (SELECT id, 'n' || (row_number() OVER (ORDER BY id) - 1) AS alias FROM nodes) SELECT '  ' || alias || '[\"' || id || '\"]' AS line FROM n UNION ALL SELECT '  ' || a.alias || ' -->|call| ' || b.alias FROM edges JOIN n a ON a.id = source JOIN n b ON b.id = target",
+    } | wider.oracle_sql()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vinculum.functions.storage import store
 from vinculum.model import Graph, edge_id
 
 #: Fixed values of the projection.
@@ -47,7 +48,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, kind, label, filePath, line, parentFile, environment, dependencyType, ord (by id)."""
+    """id, kind, label, filePath, line, parentFile, environment, dependencyType; operators that go by graph order go by id."""
     none = F.lit(None).cast("string")
 
     def row(id_, kind, label, path, line, env, dep):
@@ -99,7 +100,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
+    """The projected graph, written once a query: operators read it several times."""
+    return Graph(store(nodes(spark, sf_dir)), store(edges(spark, sf_dir)))
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -146,3 +148,61 @@ steps AS (
 edges AS (SELECT source, target, 'call' AS kind, count(*) AS "count" FROM steps WHERE target IS NOT NULL AND source <> target GROUP BY source, target),
 nodes AS (SELECT source AS id FROM edges UNION SELECT target FROM edges)
 """
+
+
+#: How each language of the projection begins a class.
+_CLASS = {"ts": "export class C%s {", "py": "class C%s:", "go": "type C%s struct {", "rs": "pub struct C%s {", "java": "public class C%s {"}
+CLASS_KIND = {"ts": "class", "py": "class", "go": "struct", "rs": "struct", "java": "class"}
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text of a source tree that says in code what the projected graph says in tables.
+
+    Customers' files define a class that calls its suppliers' functions; those in TypeScript
+    import them, a package and now and then a built-in or a file that is missing.
+    """
+    c, s = _customers(spark, sf_dir), _suppliers(spark, sf_dir)
+    e = edges(spark, sf_dir).filter("kind = 'import'").select("source", "target")
+    uses = e.join(s.select(F.col("sfile").alias("target"), F.col("s_suppkey").cast("string").alias("k")), "target")
+    uses = uses.groupBy(F.col("source").alias("cfile")).agg(F.array_sort(F.collect_list(F.struct("target", "k"))).alias("uses"))
+    key, ext = F.col("c_custkey").cast("string"), F.substring_index("cfile", ".", -1)
+    is_ts, quote = ext == "ts", lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    bare = lambda u: F.regexp_replace(u["target"], r"\.tsx\z", "")
+    none = F.array().cast("array<string>")
+    imports = F.transform("uses", lambda u: F.concat(F.lit("import { S"), u["k"], F.lit(" } from "), quote(F.concat(F.lit("../../"), bare(u))), F.lit(";")))
+    head = F.lit("")
+    for k, v in _CLASS.items():
+        head = F.when(ext == k, F.format_string(v, key)).otherwise(head)
+    lines = F.concat(
+        F.when(is_ts & F.col("environment").isNotNull(), F.array(F.concat(F.lit('"use '), "environment", F.lit('";')))).otherwise(none),
+        F.when(is_ts & (F.col("c_custkey") % 5 == 0), F.array(F.lit('import fs from "node:fs";'))).otherwise(none),
+        F.when(is_ts, F.array(F.concat(F.lit('import part from "part'), (F.col("c_custkey") % 20).cast("string"), F.lit('/sub";')))).otherwise(none),
+        F.when(is_ts, F.coalesce(imports, none)).otherwise(none),
+        F.when(is_ts & (F.col("c_custkey") % 10 == 0), F.array(F.concat(F.lit('import "./missing'), key, F.lit('";')))).otherwise(none),
+        F.array(head), F.coalesce(F.transform("uses", lambda u: F.concat(F.lit("  S"), u["k"], F.lit("();"))), none),
+    )
+    customers = c.join(uses, "cfile", "left").select(F.col("cfile").alias("path"), F.array_join(lines, "\n").alias("text"))
+    back = s.join(e.toDF("sfile", "head"), "sfile", "left")
+    k = F.col("s_suppkey").cast("string")
+    more = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("\nexport class Widget"), k, F.lit("System {}"))).otherwise("")
+    link = F.coalesce(F.concat(F.lit('import { C } from "./'), F.substring_index("head", "/", -1), F.lit('";\n')), F.lit(""))
+    suppliers = back.select(F.col("sfile").alias("path"), F.concat(link, F.lit("export function S"), k, F.lit("() {\n}"), more).alias("text"))
+    return customers.union(suppliers)
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text of a manifest for each nation, of six ecosystems in turn, and of the root's package.json."""
+    p = _places(spark, sf_dir).withColumn("k", F.col("n_nationkey").cast("string")).withColumn("d", (F.col("n_nationkey") + 1).cast("string"))
+    texts = [
+        ("package.json", '{"name": "m%1$s", "dependencies": {"d%2$s": "1.%1$s"}}'), ("Cargo.toml", '[package]\nname = "m%1$s" # a crate\n\n[dependencies]\nd%2$s = { version = "1.%1$s", features = ["x"] }\n'),
+        ("go.mod", "module m%1$s\n\nrequire (\n\td%2$s 1.%1$s // indirect\n)\n"), ("pyproject.toml", '[project]\nname = "m%1$s"\ndependencies = [\n  "d%2$s>=1.%1$s",\n]\n'),
+        ("pom.xml", "<project><parent><artifactId>up</artifactId></parent><artifactId>m%1$s</artifactId><dependencies><dependency><artifactId>d%2$s</artifactId><version>1.%1$s</version></dependency></dependencies></project>"),
+        ("settings.gradle", "rootProject.name = 'm%1$s'\n"),
+    ]
+    out = F.lit(None).cast("struct<name:string,text:string>")
+    for i, (name, text) in enumerate(texts):
+        out = F.when(F.col("n_nationkey") % 6 == i, F.struct(F.lit(name).alias("name"), F.format_string(text, "k", "d").alias("text"))).otherwise(out)
+    rows = p.withColumn("m", out).select(F.concat("dir", F.lit("/"), "m.name").alias("path"), "m.text")
+    deps = ", ".join(f'"part{i}": "^{i}.0"' for i in range(10))
+    root = spark.range(1).select(F.lit("package.json").alias("path"), F.lit('{"name": "root", "workspaces": ["*/*"], "dependencies": {%s}, "devDependencies": {"part9": "^9.1"}}' % deps).alias("text"))
+    return rows.union(root)
