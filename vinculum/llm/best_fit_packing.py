@@ -165,33 +165,59 @@ class _Words(dict):
     """Token ids of chunks without white space; a chunk is its core and the marks behind it.
 
     Two generations of at most ``limit`` chunks: what is not asked for again is forgotten.
+    New chunks are encoded many at a time, with an added token between them: the tokenizer
+    cuts a text at its added tokens before anything else.
     """
 
     def __init__(self, tokenizer, limit: int = 550_000):
         super().__init__()
         self.encode, self.limit, self.old = tokenizer.encode, limit, {}
         self.tokenizer = tokenizer
-        tokenizer.encode_special_tokens = True  # a chunk is spelt out; texts with a mark are not cut into chunks
-        self.marks = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            core = chunk.rstrip(_MARKS)
-            # bytes up to 127 that are left at the end are letters, digits, apostrophes or controls
-            if not core or core == chunk or not (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalpha()):
-                found = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        added = tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content.lower().encode() for t in added.values()]
+        self.cut = next(((i, t.content) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+
+    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
+        if self.cut is None:
+            return [array("I", self.encode(c.decode(), add_special_tokens=False).ids).tobytes() for c in chunks]
+        out = []
+        for at in range(0, len(chunks), 256):
+            some = chunks[at : at + 256]
+            ids = np.array(self.encode(self.cut[1].join(c.decode() for c in some), add_special_tokens=False).ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.cut[0]).tolist(), len(ids)]
+            start = 0
+            for end in ends:
+                out.append(ids[start:end].tobytes())
+                start = end + 1
+        return out
+
+    def _parts(self, chunk: bytes) -> tuple[bytes, ...]:
+        core = chunk.rstrip(_MARKS)
+        # bytes up to 127 that are left at the end are letters, digits, apostrophes or controls
+        if not core or core == chunk or not (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalpha()):
+            return (chunk,)
+        return core, chunk[len(core) :]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Holds the ids of all ``chunks``."""
+        parts = {}
+        for chunk in chunks:
+            if chunk in self:
+                continue
+            if (found := self.old.get(chunk)) is not None:
+                self[chunk] = found
             else:
-                found = self[core] + self[chunk[len(core) :]]
-        self[chunk] = found
-        return found
+                parts[chunk] = self._parts(chunk)
+        new = list({p for some in parts.values() for p in some if p not in self})
+        for part, ids in zip(new, self._encoded(new), strict=True):
+            self[part] = ids
+        for chunk, some in parts.items():
+            if len(some) > 1:
+                self[chunk] = self[some[0]] + self[some[1]]
 
     def whole(self, text: bytes) -> bytes:
         """Ids of a text that may hold added tokens such as <|endoftext|>, which have ids of their own."""
-        self.tokenizer.encode_special_tokens = False
-        ids = self.encode(text.decode(), add_special_tokens=False).ids
-        self.tokenizer.encode_special_tokens = True
-        return array("I", ids).tobytes()
+        return array("I", self.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def marked(self, text: bytes) -> bool:
         low = text.lower()
@@ -228,8 +254,10 @@ def token_bytes(texts: list[bytes], words: _Words) -> list[bytes]:
     Texts that hold an added token, in any case, are encoded whole.
     """
     words.trim()
+    cut = [None if words.marked(t) else _chunks(t) for t in texts]
+    words.learn(set().union(*(c for c in cut if c is not None)))
     get = words.__getitem__
-    return [words.whole(t) if words.marked(t) else b"".join(map(get, _chunks(t))) for t in texts]
+    return [words.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
