@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 from array import array
 from bisect import bisect_left
@@ -165,31 +167,28 @@ class _Words(dict):
     """Token ids of chunks without white space; a chunk is its core and the marks behind it.
 
     Two generations of at most ``limit`` chunks: what is not asked for again is forgotten.
-    New chunks are encoded many at a time, with an added token between them: the tokenizer
-    cuts a text at its added tokens before anything else.
+    New words, chunks of letters alone, are encoded many at a time: each is one word to the
+    tokenizer, and a word's last token is one of those that end words.
     """
 
     def __init__(self, tokenizer, limit: int = 550_000):
         super().__init__()
         self.encode, self.limit, self.old = tokenizer.encode, limit, {}
-        self.tokenizer = tokenizer
-        added = tokenizer.get_added_tokens_decoder()
-        self.marks = [t.content.lower().encode() for t in added.values()]
-        self.cut = next(((i, t.content) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.marks = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True
 
     def _encoded(self, chunks: list[bytes]) -> list[bytes]:
-        if self.cut is None:
-            return [array("I", self.encode(c.decode(), add_special_tokens=False).ids).tobytes() for c in chunks]
-        out = []
-        for at in range(0, len(chunks), 256):
-            some = chunks[at : at + 256]
-            ids = np.array(self.encode(self.cut[1].join(c.decode() for c in some), add_special_tokens=False).ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.cut[0]).tolist(), len(ids)]
-            start = 0
-            for end in ends:
-                out.append(ids[start:end].tobytes())
-                start = end + 1
-        return out
+        out = {}
+        words = [c for c in chunks if c.decode().isalpha()]
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            ids = np.array(self.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) == len(some) and last[-1] == len(ids):  # else one of them is more than a word, once in small letters
+                out.update((c, ids[a:b].tobytes()) for c, a, b in zip(some, [0, *last], last, strict=False))
+        return [out.get(c) or array("I", self.encode(c.decode(), add_special_tokens=False).ids).tobytes() for c in chunks]
 
     def _parts(self, chunk: bytes) -> tuple[bytes, ...]:
         core = chunk.rstrip(_MARKS)
@@ -223,6 +222,14 @@ class _Words(dict):
         low = text.lower()
         return any(m in low for m in self.marks)
 
+    def rest(self, most: int = 150_000) -> None:
+        """Between tasks: the chunks that came first, which are the commonest, stay."""
+        if len(self) > most:
+            held = dict(islice(self.items(), most))
+            self.clear()
+            self.update(held)
+        self.old = {}
+
     def trim(self) -> None:
         if len(self) > self.limit:
             self.old = dict(self)
@@ -260,13 +267,20 @@ def token_bytes(texts: list[bytes], words: _Words) -> list[bytes]:
     return [words.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
+def _words_of(path: str) -> _Words:
+    """The worker's tokenizer and words, which serve its later tasks too."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    held = sys.modules.setdefault("_vinculum_words", types.ModuleType("_vinculum_words")).__dict__
+    if path not in held:
+        held[path] = _Words(Tokenizer.from_file(path))
+    return held[path]
+
+
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        words, end = _Words(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = _words_of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
             for at, texts in byte_rows(batch, 1, 64):
@@ -285,6 +299,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
                 if with_ids:
                     columns.append(pa.array(data, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "piece", "start", "length", "crc", "ids"][: len(columns)])
+        words.rest()
 
     return lean(run)
 
