@@ -212,7 +212,7 @@ def candidate_engines(chosen: Column) -> Column:
 def cluster_ancestry(g: Graph) -> DataFrame:
     """id, clusters (outermost first, comma-joined): the directories of each node; one with a single child and no node of its own is one with that child."""
     n = g.nodes.select("id", paths.dir_prefixes(F.col("filePath")).alias("dirs"))
-    own = n.filter(F.size("dirs") > 0).select(F.element_at("dirs", -1).alias("dir")).distinct().withColumn("own", F.lit(True))
+    own = n.filter(F.size("dirs") > 0).select(F.try_element_at("dirs", F.lit(-1)).alias("dir")).distinct().withColumn("own", F.lit(True))
     every = n.select(F.explode("dirs").alias("dir")).distinct()
     children = every.filter(F.contains("dir", F.lit("/"))).groupBy(paths.dir_of(F.col("dir")).alias("dir")).agg(F.count("*").alias("children"))
     merged = every.join(own, "dir", "left").join(children, "dir", "left").filter("own IS NULL AND children = 1").select("dir", F.lit(True).alias("merged"))

@@ -68,7 +68,7 @@ def _packages(g: Graph) -> DataFrame:
 
 def _text_query(text: str) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = star.graph(spark, sf_dir)
+        g = (star.graph if text.startswith(("cycle", "depends-on")) else star.bare_graph)(spark, sf_dir)
         # scripts and Go files run on two runtimes, others on one
         two, one = (F.array(*[F.lit(x) for x in xs]) for xs in (("browser", "Node"), ("browser",)))
         g = Graph(g.nodes.withColumn("runtimes", F.when(F.col("filePath").rlike(r"\.(ts|go)\z"), two).otherwise(one)), g.edges)
@@ -133,7 +133,7 @@ def _lines(f) -> Callable[[Graph], DataFrame]:
 
 
 def queries() -> dict[str, Run]:
-    graph, events = star.graph, star.event_graph
+    graph, stored, events = star.bare_graph, star.graph, star.event_graph
     table = lambda name: lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
     out = {f"query_{k}": _text_query(text) for k, (text, _) in TEXT_QUERIES.items()}
     return out | {
@@ -151,18 +151,18 @@ def queries() -> dict[str, Run]:
         "dependents": _on(graph, lambda g: traversal.reach(g, _start(g), forward=False).select("id")),
         "dependencies_depth_2": _on(graph, lambda g: traversal.reach(g, _start(g), True, 2).select("id")),
         "neighborhood": _on(graph, lambda g: traversal.neighborhood(g, _start(g), 1)),
-        "blast_radius": _on(graph, lambda g: traversal.blast_radius(g, _start(g))),
+        "blast_radius": _on(stored, lambda g: traversal.blast_radius(g, _start(g))),
         "shortest_path_length": _on(events, _path_length),
-        "scc": _on(graph, traversal.scc),
+        "scc": _on(stored, traversal.scc),
         "event_scc": _on(events, traversal.scc),
         "components": _on(events, traversal.components),
         "communities": _on(events, traversal.communities),
         "coreness": _on(events, traversal.coreness),
-        "longest_chain": _on(graph, lambda g: traversal.longest_chain(g).agg(F.max("depth").alias("depth"))),
-        "deep_chain": _on(graph, analysis.deep_chain),
-        "insights": _on(graph, analysis.insights),
-        "rules_check": _on(graph, lambda g: analysis.check(g, RULES)),
-        "diff": _on(graph, lambda g: analysis.diff(*_revisions(g))),
+        "longest_chain": _on(stored, lambda g: traversal.longest_chain(g).agg(F.max("depth").alias("depth"))),
+        "deep_chain": _on(stored, analysis.deep_chain),
+        "insights": _on(stored, analysis.insights),
+        "rules_check": _on(stored, lambda g: analysis.check(g, RULES)),
+        "diff": _on(stored, lambda g: analysis.diff(*_revisions(g))),
         "file_view": _on(graph, views.file_view),
         "symbol_counts": _on(graph, views.symbol_counts),
         "folders": _on(graph, views.folders),

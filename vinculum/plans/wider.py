@@ -86,6 +86,7 @@ def _with_evidence(g: Graph) -> DataFrame:
 
 def queries() -> dict[str, Run]:
     on = lambda f: lambda spark, d: f(star.graph(spark, d))
+    once = lambda f: lambda spark, d: f(star.bare_graph(spark, d))
     events = lambda f: lambda spark, d: f(star.event_graph(spark, d))
     return {
         # extraction
@@ -106,31 +107,31 @@ def queries() -> dict[str, Run]:
         "manifests": _flat_manifests,
         "package_deps": _deps,
         # levels
-        "packages_declared": lambda spark, d: views.package_graph(star.graph(spark, d), _level_manifests(spark, d)),
-        "package_names": lambda spark, d: views.package_names(star.graph(spark, d), _level_manifests(spark, d)),
-        "workspaces": lambda spark, d: views.assign_workspaces(star.graph(spark, d), _level_manifests(spark, d)),
-        "workspace_graph": lambda spark, d: views.workspace_graph(star.graph(spark, d), _level_manifests(spark, d)),
+        "packages_declared": lambda spark, d: views.package_graph(star.bare_graph(spark, d), _level_manifests(spark, d)),
+        "package_names": lambda spark, d: views.package_names(star.bare_graph(spark, d), _level_manifests(spark, d)),
+        "workspaces": lambda spark, d: views.assign_workspaces(star.bare_graph(spark, d), _level_manifests(spark, d)),
+        "workspace_graph": lambda spark, d: views.workspace_graph(star.bare_graph(spark, d), _level_manifests(spark, d)),
         # scene
         "scene_visible": on(lambda g: scene.visible(g, _FILTERS).nodes.select("id")),
         "scene_focus": on(lambda g: scene.visible(g, _FILTERS, focus=g.nodes.filter("label LIKE 'o1%'").select("id")).nodes.select("id")),
         "scene_query": on(lambda g: scene.visible(g, _FILTERS, query=g.nodes.filter("label LIKE 'o1%'").select("id")).edges.select("id")),
         "scene_nodes": on(lambda g: scene.scene_nodes(g, _FILTERS, _opened(g))),
         "scene_edges": on(lambda g: scene.scene_edges(g, scene.Filters(edge_kinds=("import",)), _opened(g))),
-        "edge_kinds": on(lambda g: scene.edges_of_kinds(g.edges, ("call",)).select("id")),
-        "view_edges": on(lambda g: scene.view_edges(g, _opened(g))),
-        "node_colors": on(lambda g: g.nodes.select("id", scene.node_color(F.col("kind"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("color"))),
-        "trimmed_edges": on(lambda g: scene.trimmed(_with_evidence(g), 10, 5, 2).select("id", "count", F.size("occurrences").cast("long").alias("kept"))),
-        "merged_edges": on(lambda g: merge_edges(_with_evidence(g).union(_with_evidence(g))).select("id", "count", F.size("occurrences").cast("long").alias("kept"))),
-        "first_wins": on(lambda g: first_wins(g.nodes.filter("label LIKE 'o%'").select(F.substr("label", F.lit(2)).cast("long").alias("ord"), "parentFile", "label"), "parentFile")),
+        "edge_kinds": once(lambda g: scene.edges_of_kinds(g.edges, ("call",)).select("id")),
+        "view_edges": once(lambda g: scene.view_edges(g, _opened(g))),
+        "node_colors": once(lambda g: g.nodes.select("id", scene.node_color(F.col("kind"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("color"))),
+        "trimmed_edges": once(lambda g: scene.trimmed(_with_evidence(g), 10, 5, 2).select("id", "count", F.size("occurrences").cast("long").alias("kept"))),
+        "merged_edges": once(lambda g: merge_edges(_with_evidence(g).union(_with_evidence(g))).select("id", "count", F.size("occurrences").cast("long").alias("kept"))),
+        "first_wins": once(lambda g: first_wins(g.nodes.filter("label LIKE 'o%'").select(F.substr("label", F.lit(2)).cast("long").alias("ord"), "parentFile", "label"), "parentFile")),
         "internal_edges": on(lambda g: scene.internal_edges(g.edges.withColumn("weight", F.col("count") * F.when(F.col("kind") == "call", 1.0).otherwise(2.0)), g.nodes.filter("kind <> 'external'"))),
         "arborescence": on(scene.arborescence),
         "graph_shape": events(lambda g: _rounded(scene.graph_shape(g))),
         "layout_engine": events(lambda g: scene.graph_shape(g).select(scene.chosen_engine().alias("engine"), F.array_join(scene.candidate_engines(scene.chosen_engine()), ",").alias("candidates"))),
-        "cluster_ancestry": on(scene.cluster_ancestry),
+        "cluster_ancestry": once(scene.cluster_ancestry),
         "grid_positions": events(lambda g: scene.grid_positions(g, 7)),
         "lod_cut": on(lambda g: scene.lod_cut(g, _boxes(g), (0.0, 0.0, 1.0), 520.0, 400.0, 30.0, 200)),
         "fit_camera": on(lambda g: scene.fit_camera(_boxes(g), 800.0, 600.0)),
-        "auto_collapse_costs": on(lambda g: views.auto_collapse(g, 400, views.symbol_counts(g).select(F.col("parentFile").alias("id"), (F.col("n") + 1).alias("cost")))),
+        "auto_collapse_costs": once(lambda g: views.auto_collapse(g, 400, views.symbol_counts(g).select(F.col("parentFile").alias("id"), (F.col("n") + 1).alias("cost")))),
         "connection_neighbours": events(lambda g: clusters.connection_highlight(g, [g.nodes.agg(F.min("id")).first()[0]])),
         "graph_summary": on(views.summary),
         # revisions and rules

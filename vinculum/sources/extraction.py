@@ -129,7 +129,7 @@ def named_imports(files: DataFrame, definers: DataFrame) -> DataFrame:
     """path, target: imports by name (Java, Kotlin, Scala, Rust): the only file that defines the last segment."""
     code = lines(files).filter(F.col("pack").isin("java", "kt", "scala", "rs"))
     module = F.regexp_extract("code", r"^\s*(?:import|use)\s+(?:static\s+)?([\w.:]+)", 1)
-    last = F.element_at(F.filter(F.split(module, r"[.:/]"), lambda x: x != ""), -1)
+    last = F.try_element_at(F.filter(F.split(module, r"[.:/]"), lambda x: x != ""), F.lit(-1))
     rows = code.filter(module != "").select("path", "pack", last.alias("name")).distinct()
     return rows.join(definers, ["pack", "name"]).select("path", F.col("file").alias("target")).filter("path <> target")
 
@@ -154,7 +154,7 @@ def analyze(files: DataFrame) -> Graph:
     refs = references(code, defined).withColumnRenamed("name", "used")
     starts = defined.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("starts"))
     refs = refs.join(starts, "path", "left")
-    holder = F.element_at(F.filter("starts", lambda s: s["line"] <= F.col("line")), -1)["name"]
+    holder = F.try_element_at(F.filter("starts", lambda s: s["line"] <= F.col("line")), F.lit(-1))["name"]
     refs = refs.select("path", "relation", "used", F.when(F.size(F.filter("starts", lambda s: s["line"] <= F.col("line"))) > 0, symbol_id(F.col("path"), holder)).otherwise(F.col("path")).alias("source"))
     own = defined.select("path", F.col("name").alias("used"), F.lit(True).alias("local"))
     refs = refs.withColumn("pack", language_of(F.col("path")))

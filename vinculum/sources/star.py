@@ -99,6 +99,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(edge_id(F.col("source"), F.col("target"), F.col("kind")).alias("id"), "source", "target", "kind", "count")
 
 
+def bare_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph as a plan, for what reads it once."""
+    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The projected graph, written once a query: operators read it several times."""
     return Graph(store(nodes(spark, sf_dir)), store(edges(spark, sf_dir)))
