@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vinculum.functions import paths
 from vinculum.model import Graph
 from vinculum.operators import analysis, clusters, degrees, traversal, views
-from vinculum.plans import wider
+from vinculum.plans import placed, wider
 from vinculum.plans.query_language import Query
 from vinculum.sources import exports, files, star
 from vinculum.streaming import telemetry
@@ -184,7 +184,7 @@ def queries() -> dict[str, Run]:
         "page_links": lambda spark, d: files.page_links(table("pages")(spark, d)),
         "telemetry_summary": lambda spark, d: telemetry.summary(table("events")(spark, d)),
         "telemetry_counters": lambda spark, d: telemetry.counters(table("events")(spark, d)),
-    } | wider.queries()
+    } | wider.queries() | placed.queries()
 
 
 def _communities_sql(rounds: int = 20) -> str:
@@ -287,4 +287,4 @@ chains(scc, depth) AS (SELECT DISTINCT scc, 1 FROM sized UNION SELECT x.scc, c.d
         "coreness": _coreness_sql(),
         "export_graphml": f"{_G} SELECT '    <node id=\"' || id || '\"><data key=\"label\">' || label || '</data><data key=\"kind\">' || kind || '</data><data key=\"filePath\">' || \"filePath\" || '</data><data key=\"line\">' || line || '</data></node>' AS line FROM nodes UNION ALL SELECT '    <edge source=\"' || source || '\" target=\"' || target || '\"><data key=\"ekind\">' || kind || '</data></edge>' FROM edges",
         "export_mermaid": f"{events}, n AS (SELECT id, 'n' || (row_number() OVER (ORDER BY id) - 1) AS alias FROM nodes) SELECT '  ' || alias || '[\"' || id || '\"]' AS line FROM n UNION ALL SELECT '  ' || a.alias || ' -->|call| ' || b.alias FROM edges JOIN n a ON a.id = source JOIN n b ON b.id = target",
-    } | wider.oracle_sql()
+    } | wider.oracle_sql() | placed.oracle_sql()
