@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from test_wider import small
-from vinculum.operators import engines, ordering, placement
+from vinculum.operators import engines, ordering, placement, scene
 from vinculum.sources import workspace
 
 
@@ -168,3 +168,12 @@ def test_pieces_of_sources(spark):
     got = [tuple(r) for r in df.select(workspace.source_slice(F.col("t"), 2, 9), workspace.source_slice(F.col("t"), 0, 1), workspace.source_slice(F.col("t"), 3, 2)).collect()]
     assert got == [("b\nc", "a", ""), ("", "", ""), ("", "", "")]
     assert spark.range(1).select(workspace.absolute("/r/", F.lit("a//b")), workspace.absolute("C:\\r\\", F.lit("a/b"), True)).first()[:] == ("/r/a/b", "C:\\r\\a\\b")
+
+
+def test_signs_and_shapes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("external", "ecs-entity"), ("class", "ecs-entity"), ("class", None), ("odd", None)], "kind string, role string")
+    got = [tuple(r) for r in df.select(scene.node_sign(F.col("kind"), F.col("role")), scene.icon_shape(F.col("kind"), F.col("role"))).collect()]
+    assert got == [("↗", "arrow"), ("◉", "circle"), ("◆", "diamond"), (None, None)]
+    assert scene.KIND_SIGNS.keys() == scene.KIND_SHAPES.keys() and scene.ROLE_SIGNS.keys() == scene.ROLE_SHAPES.keys()

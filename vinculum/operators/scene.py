@@ -31,6 +31,26 @@ EDGE_COLORS = {
     "import": "#94a3b8", "call": "#60a5fa", "extends": "#c084fc", "implements": "#22d3ee", "renders": "#4ade80", "instantiates": "#fb923c", "has": "#2dd4bf",
     "injects": "#f472b6", "contains": "#475569",
 }
+#: Signs and icon shapes of node kinds and roles.
+KIND_SIGNS = {
+    "file": "▣", "class": "◆", "interface": "◇", "struct": "▤", "trait": "✦", "protocol": "◈", "enum": "≣", "union": "⊍", "record": "▦", "object": "◉", "type": "𝓣",
+    "namespace": "❏", "module": "❏", "function": "ƒ", "method": "ƒ", "constructor": "⊕", "accessor": "⇄", "component": "⬡", "macro": "!", "variable": "▪", "constant": "=",
+    "field": "▫", "property": "◦", "annotation": "@", "external": "↗",
+}
+ROLE_SIGNS = {
+    "react-component": "⬡", "vue-component": "▽", "svelte-component": "◤", "angular-component": "Ⓐ", "angular-service": "⚙", "angular-module": "▦", "angular-directive": "✦",
+    "angular-pipe": "▸", "ecs-component": "◈", "ecs-system": "⚙", "ecs-entity": "◉",
+}
+KIND_SHAPES = {
+    "file": "doc", "class": "diamond", "interface": "diamond-o", "struct": "square", "trait": "diamond-o", "protocol": "diamond-o", "enum": "bars", "union": "diamond",
+    "record": "square", "object": "hexagon", "type": "rounded", "namespace": "hexagon", "module": "hexagon", "function": "circle", "method": "circle", "constructor": "circle",
+    "accessor": "circle", "component": "hexagon", "macro": "diamond", "variable": "square", "constant": "circle", "field": "square", "property": "rounded",
+    "annotation": "diamond", "external": "arrow",
+}
+ROLE_SHAPES = {
+    "react-component": "hexagon", "vue-component": "hexagon", "svelte-component": "hexagon", "angular-component": "hexagon", "angular-service": "circle",
+    "angular-module": "square", "angular-directive": "diamond", "angular-pipe": "arrow", "ecs-component": "diamond", "ecs-system": "hexagon", "ecs-entity": "circle",
+}
 #: Above so many nodes so many pieces of evidence an edge stay; files beyond which a scan is refused.
 TRIM_NODES, TRIM_KEPT, OVERSIZE_FILES = 20_000, 1, 3000
 
@@ -48,6 +68,20 @@ def node_color(kind: Column, role: Column, external: Column) -> Column:
     return F.when(kind == "external", _pick(EXTERNAL_COLORS, F.coalesce(external, F.lit("npm")))).otherwise(F.coalesce(_pick(ROLE_COLORS, role), _pick(KIND_COLORS, kind)))
 
 
+def _face(kind: Column, role: Column, kinds: dict[str, str], roles: dict[str, str]) -> Column:
+    return F.when(kind == "external", kinds["external"]).otherwise(F.coalesce(_pick(roles, role), _pick(kinds, kind)))
+
+
+def node_sign(kind: Column, role: Column) -> Column:
+    """The externals' sign, else the role's, else the kind's; null for unknown ones."""
+    return _face(kind, role, KIND_SIGNS, ROLE_SIGNS)
+
+
+def icon_shape(kind: Column, role: Column) -> Column:
+    """The shape a card's icon has, by the same precedence as :func:`node_sign`."""
+    return _face(kind, role, KIND_SHAPES, ROLE_SHAPES)
+
+
 @dataclass(frozen=True)
 class Filters:
     """What is switched on; None means all.  ``projected`` graphs (packages) pass every gate but the query's."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vinculum.functions import paths
 from vinculum.functions.storage import store
 from vinculum.model import Graph, edge_id
-from vinculum.operators import ordering, placement
+from vinculum.operators import ordering, placement, scene
 from vinculum.sources import star, workspace
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,13 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("u"), "user_id").alias("name"), F.col("event_id").cast("long").alias("savedAt"), doc.alias("workspace"))
 
 
+def _faces(spark: SparkSession, d: str) -> DataFrame:
+    """Signs and shapes of the graph's nodes; every third symbol is given a role."""
+    n = star.bare_graph(spark, d).nodes
+    role = F.when((F.col("kind") == "function") & (F.length("label") % 3 == 0), "ecs-system")
+    return n.select("id", scene.node_sign(F.col("kind"), role).alias("sign"), scene.icon_shape(F.col("kind"), role).alias("shape"))
+
+
 def queries() -> dict[str, Run]:
     bare = lambda f: lambda spark, d: f(star.bare_graph(spark, d))
     events = lambda f: lambda spark, d: f(star.event_graph(spark, d))
@@ -111,6 +118,7 @@ def queries() -> dict[str, Run]:
         "layout_score": _scored,
         "engine_budget": _budgets,
         "layout_fallbacks": lambda spark, d: placement.fallbacks(_budgets(spark, d)),
+        "node_faces": _faces,
         "workspaces_saved": lambda spark, d: workspace.newest(_versions(spark, d)),
         "source_slices": lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", workspace.source_slice(F.col("html"), 2, 4).alias("piece")),
         "symbol_locations": bare(lambda g: g.nodes.select("id", workspace.symbol_path(F.col("kind"), F.col("filePath"), F.col("label")).alias("symbol"), workspace.file_location(F.col("filePath"), F.col("line")).alias("location"))),
@@ -152,6 +160,7 @@ r AS (SELECT o_orderkey, requested, CASE WHEN nodes > cap THEN 'node-cap' WHEN c
         "layout_score": score,
         "engine_budget": f"{budget} SELECT o_orderkey, requested, {engine} AS engine, reason FROM r",
         "layout_fallbacks": f"{budget} SELECT upper(requested[1]) || requested[2:] || ' → Grid' AS substitution, count(*) AS areas FROM r WHERE reason IS NOT NULL GROUP BY 1",
+        "node_faces": f"{g} SELECT id, CASE WHEN kind = 'function' AND length(label) % 3 = 0 THEN '⚙' ELSE CASE kind WHEN 'file' THEN '▣' WHEN 'class' THEN '◆' WHEN 'interface' THEN '◇' WHEN 'function' THEN 'ƒ' WHEN 'method' THEN 'ƒ' WHEN 'component' THEN '⬡' WHEN 'external' THEN '↗' END END AS sign, CASE WHEN kind = 'function' AND length(label) % 3 = 0 THEN 'hexagon' ELSE CASE kind WHEN 'file' THEN 'doc' WHEN 'class' THEN 'diamond' WHEN 'interface' THEN 'diamond-o' WHEN 'function' THEN 'circle' WHEN 'method' THEN 'circle' WHEN 'component' THEN 'hexagon' WHEN 'external' THEN 'arrow' END END AS shape FROM nodes",
         "workspaces_saved": "WITH v AS (SELECT 'u' || user_id AS name, event_id::BIGINT AS \"savedAt\", CASE WHEN event_id % 5 <> 0 THEN '{\"v\":' || event_id || '}' END AS workspace FROM events) SELECT * FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY name ORDER BY \"savedAt\" DESC) = 1) WHERE workspace IS NOT NULL",
         "source_slices": "SELECT page_id, array_to_string(list_slice(string_split_regex(regexp_replace(coalesce(html, ''), '\\r?\\n$', ''), '\\r?\\n'), 2, 4), chr(10)) AS piece FROM pages",
         "symbol_locations": f"""{g} SELECT id, CASE WHEN kind = 'file' THEN "filePath" ELSE "filePath" || '#' || label END AS symbol, CASE WHEN line > 0 THEN "filePath" || ':' || line ELSE "filePath" END AS location FROM nodes""",
