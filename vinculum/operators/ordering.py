@@ -77,14 +77,12 @@ def rcm_order(g: Graph) -> DataFrame:
     return placed(rows, "component", -F.col("level"), -F.col("place"), name="at").select("id", F.col("at").alias("place"))
 
 
-def by_component(g: Graph, solve, schema: str, keep: DataFrame | None = None) -> DataFrame:
-    """``solve(part key, ids in order, link ends a, link ends b)`` of each component, or of those in ``keep`` (label, ...).
+def by_component(g: Graph, solve, schema: str, of: DataFrame | None = None) -> DataFrame:
+    """``solve(part key, ids in order, link ends a, link ends b)`` of each component, or of those in ``of`` (id, label).
 
     A component is in one task; ``solve`` gives the columns of ``schema``.
     """
-    of = store(traversal.components(g))
-    if keep is not None:
-        of = of.join(keep, "label", "left_semi").select("id", "label")
+    of = store(traversal.components(g)) if of is None else of
     e = g.valid_edges().filter("source <> target").select("source", "target").distinct().join(of.toDF("source", "label"), "source")
     names = [c.split()[0] for c in schema.split(", ")]
 

@@ -122,7 +122,7 @@ def laid_out(g: Graph, engine: str, width: float = 180.0, height: float = 60.0,
                 at = engines.apart(at, width + 20, height + 20) if part else at
                 return [ids.tolist(), at[:, 0].tolist(), at[:, 1].tolist()]
 
-            xy = xy.union(by_component(g, solve, "id string, x double, y double", sizes.filter("engine <> 'grid'")))
+            xy = xy.union(by_component(g, solve, "id string, x double, y double", named.filter("engine <> 'grid'").select("id", "label")))
     xy = store(xy.join(named, "id"))
     box = xy.groupBy("label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x") + width).alias("width"), (F.max("y") - F.min("y") + height).alias("height"))
     box = store(box)
