@@ -159,7 +159,7 @@ def queries() -> dict[str, Run]:
         "communities": _on(events, traversal.communities),
         "coreness": _on(events, traversal.coreness),
         "longest_chain": _on(stored, lambda g: traversal.longest_chain(g).agg(F.max("depth").alias("depth"))),
-        "deep_chain": _on(stored, analysis.deep_chain),
+        "deep_chain": _on(star.links_graph, analysis.deep_chain),
         "insights": _on(stored, analysis.insights),
         "rules_check": _on(stored, lambda g: analysis.check(g, RULES)),
         "diff": _on(stored, lambda g: analysis.diff(*_revisions(g))),
