@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from vinculum.model import Graph
 from vinculum.operators import analysis, traversal
 
@@ -43,6 +45,23 @@ def test_chain_within_a_file_takes_few_rounds(spark, monkeypatch):
     assert calls["store"] < 40  # not a round for each symbol
 
 
+def test_check_finds_components_once(spark, monkeypatch):
+    g = long_chain(spark)
+    monkeypatch.setattr(traversal, "LOCAL", 20)
+    calls = counted(monkeypatch, "store", "_steps")
+    found = analysis.check(g, analysis.Rules(cycle=(("c", "error", None),), max_depth=5))
+    assert sorted((r["rule"], r["subject"], r["object"]) for r in found.collect()) == [("c", "b/y.ts", "2"), ("maxDependencyDepth", "", "62")]
+    assert calls["store"] < 40 and calls["_steps"] < 2
+
+
+def test_fan_out_of_busy_sources(spark):
+    g = graph(spark, [("a", "b"), ("a", "c"), ("a", "d"), ("b", "a"), ("b", "c"), ("b", "c")])
+    g = Graph(g.nodes, g.edges.union(g.edges.limit(1).select("id", F.lit("b").alias("source"), F.lit("gone").alias("target"), "kind", "count")))
+    for most in (-1, 0, 1, 2):
+        want = analysis.degrees.degrees(g).filter(F.col("n_fan_out") > most).select("id", "n_fan_out")
+        assert sorted(map(tuple, analysis.degrees.fan_out_above(g, most).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_random_graphs_by_blocks(spark, monkeypatch):
     rng = random.Random(5)
     ids = [f"d{i % 4}/{i}" for i in range(30)]

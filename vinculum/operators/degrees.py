@@ -24,6 +24,16 @@ def degrees(g: Graph) -> DataFrame:
     return g.nodes.select("id").join(sums, "id", "left").fillna(0)
 
 
+def fan_out_above(g: Graph, most: int) -> DataFrame:
+    """id, n_fan_out of the nodes with more than ``most`` distinct targets; only sources of more edges than that are looked at."""
+    if most < 0:
+        return degrees(g).filter(F.col("n_fan_out") > most).select("id", "n_fan_out")
+    busy = g.edges.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("source")
+    known = Graph(g.nodes, g.edges.join(busy, "source", "left_semi")).valid_edges()
+    wide = known.groupBy(F.col("source").alias("id")).agg(F.count_distinct("target").alias("n_fan_out")).filter(F.col("n_fan_out") > most)
+    return g.nodes.select("id").join(wide, "id")
+
+
 def outlier_threshold(d: DataFrame, column: str) -> DataFrame:
     """One row: max(6, mean + 2 population deviations) of the non-zero values."""
     seen = d.filter(F.col(column) > 0)
